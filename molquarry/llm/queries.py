@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import groups, overlap, quotas, terms
+from . import groups, mixing, overlap, packing, quotas, stuffing, terms, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,11 +50,50 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return quotas.draw_sample(read(spark, d, "qa_v3"), p4_report(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    containers = read(spark, d, "containers")
+    largest = containers.orderBy(F.desc("capacity"), "container_id").limit(1)
+    return packing.divided(packing.pack_documents(read(spark, d, "documents"), largest))
+
+
+def p5_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "containers"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p5_pack(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.token_sizes(read(spark, d, "documents"), "source")
+    plan = mixing.plan_mix(sizes, read(spark, d, "mixes"), read(spark, d, "mix_targets"))
+    return plan.where("unmet").select("mix_id", "source")
+
+
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.sample_mix(*(read(spark, d, t) for t in ("documents", "mixes", "mix_targets")))[0]
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(*mixing.sample_mix(*(read(spark, d, t) for t in ("documents", "mixes", "mix_targets"))))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(read(spark, d, "documents"))
+
+
+def p7_measures(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.measure_pages(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_split, p4_found, p4_report, p4_sample)
-    }
+        for f in (
+            p1_found, p1_report, p2_found, p2_counts, p3_found, p3_split, p4_found, p4_report, p4_sample,
+            p5_found, p5_pack, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_measures,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
