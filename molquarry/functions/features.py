@@ -33,7 +33,7 @@ def features_of(spellings: DataFrame) -> DataFrame:
     """All properties of each distinct non-null ``spelling``; unreadable ones have ``validity`` false and nulls."""
     return (
         spellings.select("spelling").where("spelling is not null").distinct()
-        .repartition(width(spellings.sparkSession), "spelling").mapInPandas(_compute, SCHEMA)
+        .repartition(width(spellings.sparkSession), F.xxhash64("spelling")).mapInPandas(_compute, SCHEMA)
     )
 
 

@@ -27,7 +27,9 @@ def molecules_of(spellings: DataFrame) -> DataFrame:
     spark = spellings.sparkSession
     return (
         spellings.select("spelling").where("spelling is not null").distinct()
-        .repartition(width(spark), "spelling")
+        # By a hash of its own: a repartition by the same key and number as the distinct before it is optimised away, and
+        # the partitions that are left are merged by their few bytes, not by the Python time they take.
+        .repartition(width(spark), F.xxhash64("spelling"))
         .mapInPandas(_canonical, "spelling string, molecule string")
         .where("molecule is not null")
     )
