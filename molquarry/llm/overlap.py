@@ -200,7 +200,8 @@ def cross_split_overlap(rows: DataFrame, train: str = "train", overlap: float =
     * ``(class_id, row_id, split, source)``.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("class_id", F.md5(F.concat_ws("\u001e", "anchor", "text")))
+    # Written once: classes and members both come from it, and behind it lies the molecule kernel.
+    rows = cut(rows.withColumn("class_id", F.md5(F.concat_ws("\u001e", "anchor", "text"))))
     members = rows.select("class_id", "row_id", "split", "source")
     is_train = (F.col("split") == train).cast("int")
     # 1: only train, 2: only other splits, 3: both.
@@ -212,7 +213,7 @@ def cross_split_overlap(rows: DataFrame, train: str = "train", overlap: float =
     both = classes.groupBy("anchor_id").agg(F.bit_or("sides").alias("s")).where("s = 3").select("anchor_id")
     live = classes.join(both, "anchor_id", "left_semi").withColumnRenamed("anchor_id", "anchor")
     pieces = (
-        live.repartition(width(spark), "class_id")
+        live.repartition(width(spark), F.xxhash64("class_id"))
         .mapInPandas(_chunk_rows, "class_id string, anchor string, chunk string, no int, sides int, total int")
         .select("class_id", "sides", "total", F.length("chunk").alias("size"), F.xxhash64("anchor", "chunk", "no").alias("digest"))
     )
