@@ -170,7 +170,7 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
         if n > 2 and function >= FUNCTION_SHARE * n:
             content = n - function
             in_stuffed = sum(w in stuffed for w in words)
-            bare = content and in_stuffed >= 0.6 * content or n <= 4 and (many[s] >= max(5, 0.3 * len(cut)) or "<a " in s or "](" in s)
+            bare = content and in_stuffed >= 0.6 * content or many[s] >= max(5, 0.3 * len(cut)) or n <= 4 and ("<a " in s or "](" in s)
             out.append((s, bool(bare)))
         else:
             out.append((s, n > 0 or "#" in s or "://" in s or "<" in s))
