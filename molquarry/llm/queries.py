@@ -96,5 +96,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _term_sql(c: str) -> str:
+    """SQL of ``functions.text.term``."""
+    wide, plain = ("".join(chr(x + d) for x in range(0x21, 0x7F)).replace("'", "''") for d in (0xFEE0, 0))
+    folded = f"regexp_replace(translate({c}, '{wide}', '{plain}'), '[\\p{{Cf}}]', '', 'g')"
+    return f"nullif(trim(regexp_replace(lower({folded}), '[\\s\\p{{Z}}\\x{{85}}_\\-]+', ' ', 'g')), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    counts = f"""WITH r AS (SELECT DISTINCT ON (row_id) row_id, prop, kind, name, pairs FROM qa_v3 WHERE row_id IS NOT NULL),
+ t AS (SELECT 'prop' AS field, {_term_sql('prop')} AS term, row_id FROM r UNION ALL SELECT 'kind', {_term_sql('kind')}, row_id FROM r
+  UNION ALL SELECT 'name', {_term_sql('name')}, row_id FROM r UNION ALL SELECT 'prop', {_term_sql('p.prop')}, row_id FROM (SELECT row_id, unnest(pairs) AS p FROM r)),
+ c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT row_id) AS records, max(row_id) AS last_record FROM t WHERE term IS NOT NULL GROUP BY ALL)
+ SELECT *, CASE WHEN records < {terms.LEAST_RECORDS} THEN 'rare' WHEN records > {terms.MOST_SHARE}::DOUBLE * (SELECT count(*) FROM r) THEN 'common' END AS mark FROM c"""
+    unmet = f"""WITH r AS (SELECT DISTINCT ON (row_id) {_term_sql('kind')} AS k, {_term_sql('prop')} AS p FROM qa_v3 WHERE row_id IS NOT NULL),
+ c AS (SELECT k, p, count(*) AS n FROM r GROUP BY ALL),
+ g AS (SELECT t.plan_id, target_id, {_term_sql('kind')} AS wk, {_term_sql('prop')} AS wp, greatest(min_rows, floor(share * sample_rows + 0.5)) AS needed
+  FROM sample_targets t JOIN sample_plans s ON s.plan_id = t.plan_id)
+ SELECT plan_id, target_id FROM g WHERE coalesce((SELECT sum(n) FROM c WHERE (wk IS NULL OR c.k = wk) AND (wp IS NULL OR c.p = wp) AND (wk IS NOT NULL OR wp IS NOT NULL)), 0) < needed"""
+    return {"p2_counts": counts, "p2_found": f"SELECT field, term FROM ({counts}) WHERE mark IS NOT NULL", "p4_found": unmet}
