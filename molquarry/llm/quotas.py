@@ -194,7 +194,8 @@ def draw_sample(records: DataFrame, report: DataFrame, seed: int = 11) -> DataFr
         (F.col("want_kind") == F.col("kind_term"), "want_kind is not null and want_prop is null"),
         (F.col("want_prop") == F.col("prop_term"), "want_kind is null and want_prop is not null"),
     ):
-        part = base.join(goals.where(where), on).select("plan_id", "target_id", "quota", "row_id")
+        # The report was made on the driver, a row per target: broadcast is bounded, and a hot category is no single task.
+        part = base.join(F.broadcast(goals.where(where)), on).select("plan_id", "target_id", "quota", "row_id")
         cells = part if cells is None else cells.unionByName(part)
     cells = cells.withColumn("key", draw(seed, "plan_id", "target_id", "row_id"))
     return lowest(cells, ["plan_id", "target_id"], "key", "row_id", "quota").select("plan_id", "target_id", "row_id")

@@ -9,9 +9,8 @@ tags and prices count as covered.  A page is stuffed when the covered
 characters of its clauseless segments are more than half of all its characters.
 
 The automaton runs over tokens: words that occur once stand as their shape, so
-that lists of ever new names repeat too.  A page of which at most half lacks
-clause structure cannot be stuffed, whatever repeats in it; ``stuffed_pages``
-decides it without building the automaton, ``measure_pages`` builds it always.
+that lists of ever new names repeat too.  It holds a page's clauseless segments
+only, since nothing else can count.
 
 Scale: one pass over the documents, no shuffle; cost grows with each page's
 length, linear for the automaton.
@@ -201,33 +200,25 @@ def _covered(segments: list[tuple[str, bool]]) -> int:
     return sum(len(t) - t.count(" ") for (kind, t), h in zip(tokens, hit) if t != "\n" and (h or kind in ("link", "tag", "number")))
 
 
-def measure(text: str, always: bool = True) -> tuple[int, int, int | None]:
-    """Visible characters, those without clause structure, and those of them that are covered (None: not needed)."""
+def measure(text: str) -> tuple[int, int, int]:
+    """Visible characters, those without clause structure, and those of them that are covered."""
     segments, chars = _segments(text)
-    bare = sum(len(s) - s.count(" ") for s, b in segments if b)
-    if not always and bare <= STUFFED_SHARE * chars:
-        return chars, bare, None
-    return chars, bare, _covered(segments)
+    return chars, sum(len(s) - s.count(" ") for s, bare in segments if bare), _covered(segments)
 
 
-def _measure(always: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [measure(t, always) for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=["chars", "clauseless", "covered"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            out["covered"] = out["covered"].astype("Int64")
-            yield out
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = pd.DataFrame([measure(t) for t in pdf["text"]], columns=["chars", "clauseless", "covered"])
+        out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+        yield out
 
-    return run
 
-
-def measure_pages(documents: DataFrame, always: bool = True) -> DataFrame:
+def measure_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id, chars, clauseless, covered)`` of every page with visible text; characters without blanks."""
     pages = documents.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
-    return pages.mapInPandas(_measure(always), "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
+    return pages.mapInPandas(_measure, "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id)`` of the pages that consist of keywords, links, prices and tags for more than half."""
-    return measure_pages(documents, always=False).where(F.col("covered") > F.lit(STUFFED_SHARE) * F.col("chars")).select("doc_id")
+    return measure_pages(documents).where(F.col("covered") > F.lit(STUFFED_SHARE) * F.col("chars")).select("doc_id")
