@@ -84,16 +84,32 @@ def score_general(episodes: DataFrame, turns: DataFrame) -> DataFrame:
     return rows.select(*episodes.columns, F.size("calls").alias("n_calls"), "final", F.coalesce(right, F.lit(False)).alias("correct"), valid.alias("tool_valid"))
 
 
-def score_by_kind(episodes: DataFrame, turns: DataFrame, version: int = 3) -> DataFrame:
+def expected_pairs(resolved: str = "resolved") -> Column:
+    """The pairs ``(smiles, prop)`` a row's answer must cover, by kind; empty where nothing is computed."""
+    pair = lambda s: F.array(F.struct(F.col(s).alias("smiles"), F.col("prop").alias("prop")))
+    none = F.slice(pair("smiles"), 1, 0)
+    return (
+        F.when(F.col("kind") == "single", pair("smiles")).when(F.col("kind") == "chain", pair(resolved))
+        .when(F.col("kind") == "multi", F.coalesce("pairs", none)).otherwise(none)
+    )
+
+
+def score_by_kind(episodes: DataFrame, turns: DataFrame, version: int = 3, canonical: DataFrame | None = None) -> DataFrame:
     """Native format, by kind; version 2 has five kinds, version 3 'chain' too.
 
     no_tool: an answer without call; clarify: it also asks back; error: a
     property call (version 2: any call) and a report of failure; chain: the
     property call, a look-up of the right name (in any order) and the value;
-    single and multi: every expected value in the answer.
+    single and multi: every expected value in the answer.  ``canonical
+    (episode, words)`` maps the words of answers to canonical SMILES for
+    expected structures; without it they compare as texts.
     """
     plays = played(turns, parse_native_call(F.col("text"), version), strip(F.col("text")))
     rows = _joined(episodes, plays)
+    words = None
+    if canonical is not None:
+        rows = rows.join(canonical, "episode", "left")
+        words = F.col("words")
     final, calls, expected, kind = F.col("final"), F.col("calls"), F.col("expected"), F.col("kind")
     computed = F.filter(calls, lambda c: c["tool"] == C.COMPUTE_TOOL)
     looked = F.filter(calls, lambda c: c["tool"] == C.NAME_TOOL)
@@ -105,7 +121,7 @@ def score_by_kind(episodes: DataFrame, turns: DataFrame, version: int = 3) -> Da
         F.when(kind.isin("no_tool", "clarify"), none).when(kind == "error", F.size(computed) >= 1)
         .when(kind == "chain", matched & named).otherwise(matched)
     )
-    covered = answered & _covered(final, expected)
+    covered = answered & _covered(final, expected, words)
     right = (
         F.when(kind == "no_tool", answered & none)
         .when(kind == "clarify", answered & none & contains_any(final, C.CLARIFY_WORDS[version]))

@@ -19,7 +19,7 @@ from .operators import metrics as A
 from .operators import molecules as M
 from .operators import names as J
 from .operators import traces as T
-from .plans import scripted
+from .plans import evaluate, scripted
 from .runtime import draw, read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -655,3 +655,34 @@ def grpo_reward(spark, d):
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("key"), kind.alias("kind"), messages.alias("messages"), size.alias("truth"))
     value = T.reward(F.col("messages"), F.col("kind"), F.lit("int"), F.lit(None).cast("double"), F.col("truth"))
     return rows.select("key", "kind", F.round(value, 6).alias("reward"))
+
+
+# --- whole evaluation ---------------------------------------------------------------------------------------------------
+
+
+def _clean_rows(spark, d):
+    rows = read(spark, d, "qa_v3").where(F.col("kind").isin("single", "error", "multi", "chain", "no_tool", "clarify")).dropDuplicates(["row_id"])
+    rows = rows.where((~F.col("kind").isin("single", "error", "chain") | F.col("prop").isin(*C.ALL_PROPERTIES)) & ((F.col("kind") != "single") | F.col("smiles").isNotNull()))
+    return rows.withColumnRenamed("row_id", "episode")
+
+
+_UNSUPPORTED = "('qed', 'pains_alert')"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT ON (row_id) * FROM qa_v3 WHERE kind IN ('single', 'error', 'multi', 'chain', 'no_tool', 'clarify')),
+ c AS (SELECT * FROM q WHERE (kind NOT IN ('single', 'error', 'chain') OR prop IN ({', '.join(S.lit(x) for x in C.ALL_PROPERTIES)})) AND (kind <> 'single' OR smiles IS NOT NULL)),
+ m AS (SELECT smiles FROM molecules)
+ SELECT row_id AS episode, kind, CASE kind WHEN 'single' THEN prop NOT IN {_UNSUPPORTED} WHEN 'chain' THEN prop NOT IN {_UNSUPPORTED} ELSE true END AS correct, true AS tool_valid
+ FROM c WHERE (kind = 'single' AND smiles IN (FROM m)) OR (kind = 'chain' AND name IN (SELECT name FROM name_dict)) OR kind IN ('error', 'no_tool')""")
+def evaluate_gold(spark, d):
+    rows = _clean_rows(spark, d)
+    dictionary = read(spark, d, "name_dict")
+    clean = read(spark, d, "molecules").select("smiles")
+    named = dictionary.select("name")
+    known = (
+        rows.where("kind = 'single'").join(clean, "smiles", "left_semi").select(*rows.columns)
+        .unionByName(rows.where("kind = 'chain'").join(named, "name", "left_semi").select(*rows.columns))
+        .unionByName(rows.where("kind in ('error', 'no_tool')"))
+    )
+    results = evaluate.evaluate(known, evaluate.gold_turns(known, dictionary), dictionary)
+    return results.select("episode", "kind", "correct", "tool_valid")
