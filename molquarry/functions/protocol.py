@@ -17,9 +17,6 @@ NATIVE_CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 FINAL_LINE = r"(?smUd)FINAL:\s*(.+?)\s*$"
 SEPARATORS = r"(?U)[\s,;:=]+"
 
-_VARIANT_OBJECT = "map<string,string>"
-
-
 def strip(c: Column) -> Column:
     """Without blanks at both ends, Unicode ones too."""
     return F.regexp_replace(c, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")
@@ -35,16 +32,29 @@ def _fields(json: Column) -> Column:
     return F.from_json(json, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it.
+
+    Conditions hide common parts from the optimiser's own elimination; the
+    variable of a lambda over a one-element array is a value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_v1_call(turn: Column) -> Column:
     """``struct<smiles, prop>`` of the first call in a turn, or null.
 
     The braces end at the first closing one; ``smiles`` and ``property`` are
     needed; the property is stripped, lowered and must be a known one.
     """
-    fields = _fields(_matched(turn, V1_CALL))
-    prop = F.lower(strip(F.coalesce(fields["property"], F.lit(""))))
-    ok = fields.isNotNull() & F.map_contains_key(fields, "smiles") & F.map_contains_key(fields, "property") & prop.isin(*V1_PROPERTIES)
-    return F.when(ok, F.struct(fields["smiles"].alias("smiles"), prop.alias("prop")))
+
+    def body(fields: Column) -> Column:
+        prop = F.lower(strip(fields["property"]))
+        ok = F.map_contains_key(fields, "smiles") & prop.isin(*V1_PROPERTIES)
+        return F.when(ok, F.struct(fields["smiles"].alias("smiles"), prop.alias("prop")))
+
+    # Most turns hold no call: a plain search for the marker comes before the pattern and the decoder.
+    return F.when(turn.contains("TOOL_CALL:"), _let(_fields(_matched(turn, V1_CALL)), body))
 
 
 def parse_native_call(turn: Column, version: int = 3) -> Column:
@@ -52,22 +62,25 @@ def parse_native_call(turn: Column, version: int = 3) -> Column:
 
     Version 2 knows the property tool only, version 3 the name tool too.
     """
-    fields = _fields(_matched(turn, NATIVE_CALL))
-    args = _fields(fields["arguments"])
-    prop = F.lower(strip(F.coalesce(args["property"], F.lit(""))))
-    compute = (fields["name"] == COMPUTE_TOOL) & F.map_contains_key(args, "smiles") & prop.isin(*ALL_PROPERTIES)
     none = F.lit(None).cast("string")
-    call = F.when(
-        args.isNotNull() & compute,
-        F.struct(F.lit(COMPUTE_TOOL).alias("tool"), args["smiles"].alias("smiles"), prop.alias("prop"), none.alias("name")),
-    )
-    if version >= 3:
-        by_name = (fields["name"] == NAME_TOOL) & F.map_contains_key(args, "name")
-        call = call.when(
-            args.isNotNull() & by_name,
-            F.struct(F.lit(NAME_TOOL).alias("tool"), none.alias("smiles"), none.alias("prop"), args["name"].alias("name")),
-        )
-    return call
+
+    def body(fields: Column) -> Column:
+        def inner(args: Column) -> Column:
+            prop = F.lower(strip(args["property"]))
+            compute = (fields["name"] == COMPUTE_TOOL) & F.map_contains_key(args, "smiles") & prop.isin(*ALL_PROPERTIES)
+            call = F.when(
+                compute, F.struct(F.lit(COMPUTE_TOOL).alias("tool"), args["smiles"].alias("smiles"), prop.alias("prop"), none.alias("name"))
+            )
+            if version >= 3:
+                by_name = (fields["name"] == NAME_TOOL) & F.map_contains_key(args, "name")
+                call = call.when(
+                    by_name, F.struct(F.lit(NAME_TOOL).alias("tool"), none.alias("smiles"), none.alias("prop"), args["name"].alias("name"))
+                )
+            return call
+
+        return _let(_fields(fields["arguments"]), inner)
+
+    return F.when(turn.contains("<tool_call>"), _let(_fields(_matched(turn, NATIVE_CALL)), body))
 
 
 def parse_final(turn: Column) -> Column:
