@@ -51,6 +51,8 @@ FUNCTION_WORDS = frozenset(
 
 #: A clause has this share of function words at least.
 FUNCTION_SHARE = 0.15
+#: Words that alternate between function and content at this share of all places, over so many places, make no clauses.
+ALTERNATING, PLACES = 0.92, 20
 #: Covered clauseless characters above this share make a page stuffed.
 STUFFED_SHARE = 0.5
 
@@ -133,6 +135,7 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
     total = Counter()
     around: dict[str, tuple[set[str], set[str]]] = {}
     many = Counter()
+    coarse = 0
     for s in cut:
         if _ROLE.match(s) or ("=" in s or "(" in s or "[" in s) and _is_data(s):
             words_of.append(None)
@@ -141,8 +144,14 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
         words_of.append(words)
         many[s] += 1
         before = ""
+        content = None
         for w, after in zip(words, [*words[1:], ""]):
-            if w not in FUNCTION_WORDS:
+            if w in FUNCTION_WORDS:
+                coarse += content is True
+                content = False
+            else:
+                coarse += content is False
+                content = True
                 total[w] += 1
                 sides = around.get(w)
                 if sides is None:
@@ -157,6 +166,18 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
         w for w, n in total.items()
         if n >= 3 and n >= 0.03 * contents and (n >= 0.3 * contents or max(map(len, around[w])) >= 3)
     }
+    # In sentences function words stand together now and then, and so do content words; strung keywords take turns.
+    # Commas end a string; the coarse count above, which ignores them, tells most pages apart.
+    places = turns = 0
+    if coarse >= 0.8 * sum(len(w) - 1 for w in words_of if w):
+        for s, words in zip(cut, words_of):
+            if words and len(words) > 3:
+                for part in s.split(","):
+                    kinds = [w.lower() in FUNCTION_WORDS for w in _WORD.findall(part)]
+                    if sum(kinds) >= FUNCTION_SHARE * len(kinds):
+                        places += max(0, len(kinds) - 1)
+                        turns += sum(a != b for a, b in zip(kinds, kinds[1:]))
+    strung = places >= PLACES and turns >= ALTERNATING * places
     out = []
     chars = 0
     for s, words in zip(cut, words_of):
@@ -169,7 +190,7 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
         if n > 2 and function >= FUNCTION_SHARE * n:
             content = n - function
             in_stuffed = sum(w in stuffed for w in words)
-            bare = content and in_stuffed >= 0.6 * content or many[s] >= max(5, 0.3 * len(cut)) or n <= 4 and ("<a " in s or "](" in s)
+            bare = strung or content and in_stuffed >= 0.6 * content or many[s] >= max(5, 0.3 * len(cut)) or n <= 4 and ("<a " in s or "](" in s)
             out.append((s, bool(bare)))
         else:
             out.append((s, n > 0 or "#" in s or "://" in s or "<" in s))
