@@ -51,8 +51,8 @@ FUNCTION_WORDS = frozenset(
 
 #: A clause has this share of function words at least.
 FUNCTION_SHARE = 0.15
-#: Words that alternate between function and content at this share of all places, over so many places, make no clauses.
-ALTERNATING, PLACES = 0.92, 20
+#: Words that alternate between function and content at this share of so many places make no clauses; the more places, the lower.
+ALTERNATING = ((20, 0.92), (30, 0.85))
 #: Covered clauseless characters above this share make a page stuffed.
 STUFFED_SHARE = 0.5
 
@@ -177,7 +177,7 @@ def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
                     if sum(kinds) >= FUNCTION_SHARE * len(kinds):
                         places += max(0, len(kinds) - 1)
                         turns += sum(a != b for a, b in zip(kinds, kinds[1:]))
-    strung = places >= PLACES and turns >= ALTERNATING * places
+    strung = any(places >= least and turns >= share * places for least, share in ALTERNATING)
     out = []
     chars = 0
     for s, words in zip(cut, words_of):

@@ -7,8 +7,8 @@ of records is kept.  Since a record has one salt, the counters of a term's
 salts add up.
 
 Scale: the one shuffle of the tokens spreads a term that holds a third of all
-rows over ``salts`` partitions; the second one moves at most ``salts`` counter
-rows a term.
+rows over ``salts`` partitions (64, or as many as the session shuffles into);
+the second one moves at most ``salts`` counter rows a term.
 
 Defined results: null fields and spellings with nothing visible in them are no
 occurrence; deliveries of a record count once (a token is known by its record
@@ -31,6 +31,7 @@ from ..runtime import width
 #: A term found in fewer records is too rare, in a greater share of all records too common.
 LEAST_RECORDS = 5
 MOST_SHARE = 0.08
+#: Salts of a term at least.
 SALTS = 64
 
 
@@ -87,10 +88,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def term_counts(
-    records: DataFrame, least_records: int = LEAST_RECORDS, most_share: float = MOST_SHARE, salts: int = SALTS
+    records: DataFrame, least_records: int = LEAST_RECORDS, most_share: float = MOST_SHARE, salts: int | None = None
 ) -> DataFrame:
     """``(field, term, occurrences, records, last_record, mark)``; ``mark`` is 'rare', 'common' or null."""
     spark = records.sparkSession
+    salts = salts or max(SALTS, width(spark))
     seen = (
         tokens(records).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
         .repartition(width(spark), "field", "term", "salt")
