@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,72 +132,77 @@ def _is_data(s: str) -> bool:
 def _segments(text: str) -> tuple[list[tuple[str, bool]], int]:
     """The page's segments with whether each lacks clause structure (data: no), and its visible characters."""
     cut = [s for s in _CUT.split(text) if s and not s.isspace()]
-    words_of = []
+    words_of: list[list[str] | None] = []
+    kinds_of: list[list[bool]] = []  # whether each word is a function word
     total = Counter()
-    around: dict[str, tuple[set[str], set[str]]] = {}
-    many = Counter()
-    coarse = 0
+    coarse = places = functions = 0
     for s in cut:
         if _ROLE.match(s) or ("=" in s or "(" in s or "[" in s) and _is_data(s):
             words_of.append(None)
+            kinds_of.append([])
             continue
-        words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", s) if "<" in s or "/" in s else s)]
+        words = _WORD.findall((_LINK.sub(" ", s) if "<" in s or "/" in s else s).lower())
+        kinds = [w in FUNCTION_WORDS for w in words]
         words_of.append(words)
-        many[s] += 1
-        before = ""
-        content = None
-        for w, after in zip(words, [*words[1:], ""]):
-            if w in FUNCTION_WORDS:
-                coarse += content is True
-                content = False
-            else:
-                coarse += content is False
-                content = True
-                total[w] += 1
-                sides = around.get(w)
-                if sides is None:
-                    around[w] = ({before}, {after})
-                else:
-                    sides[0].add(before)
-                    sides[1].add(after)
-            before = w
-    contents = sum(total.values())
+        kinds_of.append(kinds)
+        total.update(words)
+        functions += sum(kinds)
+        if words:
+            places += len(words) - 1
+            coarse += sum(map(ne, kinds, kinds[1:]))
+    contents = sum(total.values()) - functions
     # Words that take a great part of the page, ever with other neighbours.
-    stuffed = {
-        w for w, n in total.items()
-        if n >= 3 and n >= 0.03 * contents and (n >= 0.3 * contents or max(map(len, around[w])) >= 3)
-    }
-    # In sentences function words stand together now and then, and so do content words; strung keywords take turns.
-    # Commas end a string; the coarse count above, which ignores them, tells most pages apart.
-    places = turns = 0
-    if coarse >= 0.8 * sum(len(w) - 1 for w in words_of if w):
-        for s, words in zip(cut, words_of):
-            if words and len(words) > 3:
-                for part in s.split(","):
-                    kinds = [w.lower() in FUNCTION_WORDS for w in _WORD.findall(part)]
-                    if sum(kinds) >= FUNCTION_SHARE * len(kinds):
-                        places += max(0, len(kinds) - 1)
-                        turns += sum(a != b for a, b in zip(kinds, kinds[1:]))
-    strung = any(places >= least and turns >= share * places for least, share in ALTERNATING)
+    least = max(3, 0.03 * contents)
+    often = {w for w, n in total.items() if n >= least and w not in FUNCTION_WORDS}
+    stuffed = {w for w in often if total[w] >= 0.3 * contents}
+    if len(stuffed) < len(often):
+        before: dict[str, set[str]] = {w: set() for w in often}
+        after: dict[str, set[str]] = {w: set() for w in often}
+        for words in words_of:
+            if words and not often.isdisjoint(words):
+                for left, w, right in zip(["", *words], words, [*words[1:], ""]):
+                    if w in often:
+                        before[w].add(left)
+                        after[w].add(right)
+        stuffed |= {w for w in often if len(before[w]) >= 3 or len(after[w]) >= 3}
+    strung = coarse >= 0.8 * places and _is_strung(cut, words_of)
+    many = Counter(s for s, words in zip(cut, words_of) if words is not None)
     out = []
     chars = 0
-    for s, words in zip(cut, words_of):
+    for s, words, kinds in zip(cut, words_of, kinds_of):
         chars += len(s) - s.count(" ")
         if words is None:
             out.append((s, False))
             continue
-        function = sum(w in FUNCTION_WORDS for w in words)
+        function = sum(kinds)
         n = len(words)
         if n > 2 and function >= FUNCTION_SHARE * n:
             content = n - function
-            in_stuffed = sum(w in stuffed for w in words)
-            bare = strung or content and in_stuffed >= 0.6 * content or many[s] >= max(5, 0.3 * len(cut)) or n <= 4 and ("<a " in s or "](" in s)
+            bare = strung or many[s] >= max(5, 0.3 * len(cut)) or n <= 4 and ("<a " in s or "](" in s)
+            bare = bare or stuffed and content and sum(w in stuffed for w in words) >= 0.6 * content
             out.append((s, bool(bare)))
         else:
             out.append((s, n > 0 or "#" in s or "://" in s or "<" in s))
     return out, chars
 
 
+def _is_strung(cut: list[str], words_of: list[list[str] | None]) -> bool:
+    """Whether function words and content words take turns between commas, as in strung keywords.
+
+    In sentences function words stand together now and then, and so do content
+    words.
+    """
+    places = turns = 0
+    for s, words in zip(cut, words_of):
+        if words and len(words) > 3:
+            for part in s.split(","):
+                kinds = [w.lower() in FUNCTION_WORDS for w in _WORD.findall(part)]
+                if sum(kinds) >= FUNCTION_SHARE * len(kinds):
+                    places += max(0, len(kinds) - 1)
+                    turns += sum(map(ne, kinds, kinds[1:]))
+    return any(places >= least and turns >= share * places for least, share in ALTERNATING)
+
+
 def _covered(segments: list[tuple[str, bool]]) -> int:
     """Visible characters of clauseless segments in repeated substrings, links, tags and prices."""
     tokens = []
