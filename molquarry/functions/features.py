@@ -40,8 +40,8 @@ def features_of(spellings: DataFrame) -> DataFrame:
 def with_features(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     """Rows with a struct ``features`` of their SMILES (null where the SMILES is null)."""
     table = features_of(df.select(F.col(smiles).alias("spelling")))
-    packed = table.select("spelling", F.struct(*FIELDS).alias("features"))
-    return df.join(packed, df[smiles] == packed["spelling"], "left").drop("spelling")
+    packed = table.select(F.col("spelling").alias("_spelling"), F.struct(*FIELDS).alias("features"))
+    return df.join(packed, F.col(smiles) == F.col("_spelling"), "left").drop("_spelling")
 
 
 def python_float(c: Column) -> Column:

@@ -30,8 +30,8 @@ def chain_molecules(part: DataFrame) -> DataFrame:
 def labelled(rows: DataFrame, smiles: str, prop: str, out: str) -> DataFrame:
     """Add the rendered value of each row's property; each distinct SMILES is computed once."""
     table = features_of(rows.select(F.col(smiles).alias("spelling"))).select("spelling", F.struct("*").alias("features"))
-    table = table.select("spelling", rendered().alias("_values"))
-    return rows.join(table, F.col(smiles) == F.col("spelling"), "left").withColumn(out, F.col("_values")[F.col(prop)]).drop("spelling", "_values")
+    table = table.select(F.col("spelling").alias("_spelling"), rendered().alias("_values"))
+    return rows.join(table, F.col(smiles) == F.col("_spelling"), "left").withColumn(out, F.col("_values")[F.col(prop)]).drop("_spelling", "_values")
 
 
 def _expected(*pairs: tuple[str, str, str]) -> F.Column:
