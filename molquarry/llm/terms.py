@@ -38,9 +38,8 @@ SALTS = 64
 def tokens(records: DataFrame) -> DataFrame:
     """``(field, term, row_id, place)``: ``prop`` (also inside ``pairs``), ``kind`` and ``name`` of each delivery."""
     one = lambda field, c: F.array(F.struct(F.lit(field).alias("field"), term(c).alias("term"), F.lit(0).alias("place")))
-    inside = F.transform(
-        "pairs", lambda p, i: F.struct(F.lit("prop").alias("field"), term(p["prop"]).alias("term"), (i + 1).alias("place"))
-    )
+    # By the field and not by the structs, so that the scan leaves the molecules of the pairs out.
+    inside = F.transform("pairs.prop", lambda p, i: F.struct(F.lit("prop").alias("field"), term(p).alias("term"), (i + 1).alias("place")))
     every = F.concat(one("prop", "prop"), one("kind", "kind"), one("name", "name"), F.coalesce(inside, F.array().cast(
         "array<struct<field:string,term:string,place:int>>")))
     return (
