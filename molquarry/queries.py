@@ -20,7 +20,7 @@ from .operators import molecules as M
 from .operators import names as J
 from .operators import traces as T
 from .plans import evaluate, scripted
-from .runtime import draw, read
+from .runtime import cut, read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -381,6 +381,11 @@ def _mol(spark, d):
     return M.group_split(rows, "g", SEED).select("key", "smiles", "split")
 
 
+def _mol_once(spark, d):
+    """Written once where several fan-outs read it; each would split the molecules anew."""
+    return cut(_mol(spark, d))
+
+
 _MOLS = ("m0 AS (SELECT pos AS key, smiles, concat_ws('/', source, pos % 50) AS g FROM molecules), "
          + _SPLIT.format(h=S.draw(SEED, "'group'", "g"), rows="m0") + ", mol AS (SELECT key, smiles, split FROM m0 JOIN named USING (g))")
 _OUT = "{split} AS split, '{kind}' AS kind, {question} AS question, {smiles} AS smiles, {prop} AS prop, {prop2} AS prop2, {name} AS name, {answer} AS answer, {clarify} AS clarify_text"
@@ -464,8 +469,7 @@ def generate_v1(spark, d):
 _ALL_V2 = f"{_SINGLE_SQL} UNION ALL {_ERROR_SQL} UNION ALL {_MULTI_SQL} UNION ALL {_CLARIFY_SQL} UNION ALL {_BANK_SQL} UNION ALL {_SUM_SQL}"
 
 
-def _v2(spark, d):
-    m = _mol(spark, d)
+def _v2(spark, d, m):
     parts = [R.single_rows(m, C.ALL_PROPERTIES, SEED), R.error_rows(m, SEED), R.multi_rows(m, SEED), R.clarify_rows(m, SEED), R.bank_rows(m), R.arithmetic_rows(m, SEED)]
     out = parts[0]
     for p in parts[1:]:
@@ -475,11 +479,12 @@ def _v2(spark, d):
 
 @query(f"WITH {_MOLS} {_ALL_V2}")
 def generate_v2(spark, d):
-    return _v2(spark, d)
+    return _v2(spark, d, _mol_once(spark, d))
 
 
 def _v3(spark, d):
-    return _v2(spark, d).unionByName(generate_chain(spark, d))
+    m = _mol_once(spark, d)
+    return _v2(spark, d, m).unionByName(R.chain_rows(R.name_splits(read(spark, d, "name_dict")), m, SEED))
 
 
 @query(f"WITH {_MOLS}, {_NAMES} {_ALL_V2} UNION ALL {_CHAIN_SQL}")
