@@ -11,6 +11,10 @@ one side only leave before chunking, and the digest join is restricted to each
 text's rarest chunks (prefix filter), which loses no pair at or above the
 threshold.  No group is collected or sorted in one task.
 
+Below the threshold, where slips have destroyed most chunks of a short text,
+candidates come from an exact join: of three pieces of a text, two slips leave
+one whole (``piece_keys``).  So every pair of an anchor within ``SLIPS`` is found.
+
 Defined results: null ``row_id`` or ``split`` forms no case; redelivered
 records count once; null kind, other kinds, a null prop term or an unreadable
 molecule where one is needed form no case; blank questions form no case; empty
@@ -103,6 +107,51 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"class_id": ids, "anchor": anchors, "chunk": texts, "no": numbers, "sides": sides, "total": totals})
 
 
+def _layout(n: int, slips: int) -> list[tuple[int, int]]:
+    """Start and end of ``slips + 1`` pieces of a text of length n, one character between neighbours, so that a swap breaks one only."""
+    room = max(0, n - slips)
+    cuts = [room * i // (slips + 1) for i in range(slips + 2)]
+    return [(min(n, a + i), min(n, b + i)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def piece_keys(text: str, slips: int = SLIPS) -> list[str]:
+    """Keys of a text: each of its pieces with the text's length and the piece's number."""
+    return [f"{len(text)} {i} {text[a:b]}" for i, (a, b) in enumerate(_layout(len(text), slips))]
+
+
+def probe_keys(text: str, slips: int = SLIPS) -> list[str]:
+    """Keys one of which is among the ``piece_keys`` of any text at most ``slips`` away.
+
+    A slip breaks one piece at most, so one is left, shifted by the characters
+    put in less those left out before it; those behind it make up the rest of
+    the difference in length, and both together are no more than ``slips``.
+    """
+    out: dict[str, None] = {}
+    for more in range(-slips, slips + 1):
+        n = len(text) - more
+        if n < 0:
+            continue
+        for i, (a, b) in enumerate(_layout(n, slips)):
+            for shift in range(-slips, slips + 1):
+                if abs(shift) + abs(more - shift) <= slips and 0 <= a + shift and b + shift <= len(text):
+                    out[f"{n} {i} {text[a + shift : b + shift]}"] = None
+    return list(out)
+
+
+def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of texts without blanks; ``probe`` tells those of classes outside train from those of classes in it."""
+    for pdf in batches:
+        ids, anchors, keys, probes = [], [], [], []
+        for class_id, anchor, text, side in zip(pdf["class_id"], pdf["anchor"], pdf["text"], pdf["sides"]):
+            bare = text.replace(" ", "")
+            for probe, own in ((False, piece_keys(bare) if side & 1 else []), (True, probe_keys(bare) if side & 2 else [])):
+                ids += [class_id] * len(own)
+                anchors += [anchor] * len(own)
+                keys += own
+                probes += [probe] * len(own)
+        yield pd.DataFrame({"class_id": ids, "anchor": anchors, "key": keys, "probe": probes})
+
+
 def slips(a: str, b: str, most: int = SLIPS) -> int | None:
     """Fewest insertions, deletions, changes and swaps of neighbours between two texts, or None above ``most``."""
     if a == b:
@@ -135,7 +184,31 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Exact check of candidates: the letters, without blanks, differ by slips of the pen at most."""
     for pdf in batches:
         keep = [slips(a.replace(" ", ""), b.replace(" ", "")) is not None for a, b in zip(pdf["text_a"], pdf["text_b"])]
-        yield pdf.loc[keep, ["class_a", "class_b", "overlap"]]
+        yield pdf.loc[keep].drop(columns=["text_a", "text_b"])
+
+
+def _near(live: DataFrame) -> DataFrame:
+    """``(class_a, class_b)`` of all different texts of an anchor within ``SLIPS``, whatever chunks they share."""
+    spark = live.sparkSession
+    several = live.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    keys = (
+        live.join(several, "anchor", "left_semi").select("class_id", "anchor", "text", "sides")
+        .repartition(width(spark), F.xxhash64("class_id"))
+        .mapInPandas(_key_rows, "class_id string, anchor string, key string, probe boolean")
+        .select("class_id", "probe", F.xxhash64("anchor", "key").alias("key"))
+    )
+    keys = cut(keys)
+    first = keys.where("not probe").select("key", F.col("class_id").alias("class_a"))
+    second = keys.where("probe").select("key", F.col("class_id").alias("class_b"))
+    candidates = first.join(second, "key").where("class_a != class_b").select("class_a", "class_b").distinct()
+    return _with_texts(candidates, live).mapInPandas(_check, "class_a string, class_b string")
+
+
+def _with_texts(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    texts = live.select("class_id", "text")
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("class_id").alias(f"class_{side}"), F.col("text").alias(f"text_{side}")), f"class_{side}")
+    return pairs.select("class_a", "class_b", *[c for c in pairs.columns if c == "overlap"], "text_a", "text_b")
 
 
 def normalised(records: DataFrame, name_dict: DataFrame, controls: DataFrame) -> DataFrame:
@@ -226,21 +299,18 @@ def cross_split_overlap(rows: DataFrame, train: str = "train", overlap: float =
     prefix = live_pieces.withColumn("rest", F.sum("size").over(rest)).where(F.col("rest") >= F.lit(overlap / 2) * F.col("total"))
     first = prefix.where("sides in (1, 3)").select("digest", F.col("class_id").alias("class_a"))
     second = prefix.where("sides in (2, 3)").select("digest", F.col("class_id").alias("class_b"))
-    candidates = first.join(second, "digest").select("class_a", "class_b").distinct()
+    candidates = first.join(second, "digest").select("class_a", "class_b", F.lit(False).alias("near"))
+    candidates = candidates.union(_near(live).withColumn("near", F.lit(True))).groupBy("class_a", "class_b").agg(F.max("near").alias("near"))
     left = live_pieces.select("digest", "size", F.col("total").alias("total_a"), F.col("class_id").alias("class_a"))
     right = live_pieces.select("digest", F.col("total").alias("total_b"), F.col("class_id").alias("class_b"))
+    # Near texts may share no chunk at all.
+    shared = F.sum(F.when(F.col("total_b").isNotNull(), F.col("size"))) / F.least(F.max("total_a"), F.max("total_b"))
     fractions = (
-        candidates.join(left, "class_a").join(right, ["class_b", "digest"])
-        .groupBy("class_a", "class_b").agg((F.sum("size") / F.least(F.first("total_a"), F.first("total_b"))).alias("overlap"))
-        .where(F.col("overlap") >= overlap)
+        candidates.join(left, "class_a", "left").join(right, ["class_b", "digest"], "left")
+        .groupBy("class_a", "class_b").agg(F.coalesce(shared, F.lit(0.0)).alias("overlap"), F.max("near").alias("near"))
+        .where(F.col("near") | (F.col("overlap") >= overlap))
     )
-    texts = live.select("class_id", "text")
-    checked = (
-        fractions.join(texts.select(F.col("class_id").alias("class_a"), F.col("text").alias("text_a")), "class_a")
-        .join(texts.select(F.col("class_id").alias("class_b"), F.col("text").alias("text_b")), "class_b")
-        .select("class_a", "class_b", "overlap", "text_a", "text_b")
-        .mapInPandas(_check, "class_a string, class_b string, overlap double")
-    )
+    checked = _with_texts(fractions, live).mapInPandas(_check, "class_a string, class_b string, overlap double")
     return checked, members
 
 

@@ -101,6 +101,51 @@ def test_whole_tables_against_brute_force(spark, small):
     assert {tuple(r) for r in queries.p1_found(spark, small).collect()} == want
 
 
+def test_slips_that_leave_no_chunk(spark, dicts):
+    rng = random.Random(8)
+
+    def slip(q):
+        i = rng.randrange(len(q) - 1)
+        return rng.choice((q[:i] + q[i + 1 :], q[:i] + rng.choice("abcxyz") + q[i:], q[:i] + rng.choice("abcxyz") + q[i + 1 :], q[:i] + q[i + 1] + q[i] + q[i + 2 :]))
+
+    asked = []
+    for n in range(300):
+        head = rng.choice(("what is", "work out", "give me", "sum"))
+        asked += [(n, "train", f"{slip(head)} {n} plus 1"), (n, rng.choice(("val", "test")), f"{slip(head)} {n} {slip('plus')} 1")]
+    rows = [{"kind": "no_tool", "split": s, "question": q} for _, s, q in asked]
+    bare = lambda q: re.sub(r"\s", "", q)
+    numbers = lambda q: re.findall(r"\d+", q)
+    want = {
+        (i, i + 1) for i in range(0, len(asked), 2)
+        if numbers(asked[i][2]) == numbers(asked[i + 1][2]) and overlap.slips(bare(asked[i][2]), bare(asked[i + 1][2])) is not None
+    }
+    assert len(want) > 50 and pairs(qa(spark, *rows), dicts) == want
+
+
+def test_piece_keys_meet_within_two_slips():
+    rng = random.Random(9)
+    met = 0
+    for _ in range(20000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 14)))
+        b = list(a)
+        for _ in range(2):
+            i = rng.randint(0, len(b))
+            match rng.randrange(4):
+                case 0:
+                    b[i:i] = rng.choice("abc")
+                case 1:
+                    del b[i : i + 1]
+                case 2:
+                    b[i : i + 1] = rng.choice("abc")
+                case _:
+                    b[i : i + 2] = b[i : i + 2][::-1]
+        b = "".join(b)
+        if overlap.slips(a, b) is not None:
+            met += 1
+            assert set(overlap.piece_keys(a)) & set(overlap.probe_keys(b)), (a, b)
+    assert met > 15000
+
+
 def test_chunks_rebuild_the_text_and_resync():
     rng = random.Random(1)
     for n in (0, 1, 3, 50, 500):
