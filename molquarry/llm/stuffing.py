@@ -1,19 +1,33 @@
 """Keyword-stuffed and link-list pages (problem 7).
 
-A page is cut into segments (sentences and lines).  A segment lacks clause
-structure if it has too few function words, or if its content words are ones
-the page is stuffed with.  Lines of dialogue, settings, notation and numbers
-are data and never count.  Over what lacks clause structure a suffix automaton
-of the page's tokens is built; its repeated substrings cover tokens, and links,
-tags and prices count as covered.  A page is stuffed when the covered
-characters of its clauseless segments are more than half of all its characters.
-
-The automaton runs over tokens: words that occur once stand as their shape, so
-that lists of ever new names repeat too.  It holds a page's clauseless segments
-only, since nothing else can count.
+Two measures are combined, and a character counts only if both speak for it.
+
+*Clause structure.*  A page is cut into segments (sentences and lines).  A
+segment lacks clause structure if it has too few function words, or if its
+content words are ones the page is stuffed with.  Lines of dialogue, settings,
+notation and numbers are data and never count.
+
+*Repetition.*  A suffix automaton of the whole page's tokens gives its maximal
+repeated substrings.  One that occurs ``LEAST_TIMES`` times, holds
+``LEAST_LETTERS`` letters and takes ``LEAST_DENSITY`` of the page with all its
+occurrences covers its characters.  An item (what stands between separators)
+of which ``ITEM_SHARE`` is covered is a keyword or slogan as a whole.  Links,
+tags and price entries count by what they are, as do entries of a list: items
+of one shape in a row.
+
+A page is stuffed when the covered characters of its clauseless segments are
+more than half of all its characters.  Prose in a language without listed
+function words lacks clause structure by the first measure, but does not repeat
+itself, so the second keeps it; release notes and logs repeat themselves, but
+have clauses or are data.
+
+Tokens are words, links, tags, numbers and marks; a character of a script
+without blanks is a token of its own.  Words stand for themselves in lower
+case, links, tags and numbers for their kind.
 
 Scale: one pass over the documents, no shuffle; cost grows with each page's
-length, linear for the automaton.
+length, linear for the automaton.  A page whose clauseless characters are not
+more than half cannot be stuffed, so ``stuffed_pages`` builds no automaton for it.
 
 Defined results: null and blank texts are no pages; ties (exactly half) are not
 stuffed; repeated rows are judged one by one; extra columns are ignored.
@@ -56,6 +70,20 @@ FUNCTION_SHARE = 0.15
 ALTERNATING = ((20, 0.92), (30, 0.85))
 #: Covered clauseless characters above this share make a page stuffed.
 STUFFED_SHARE = 0.5
+#: A repeated substring covers if it occurs so often,
+LEAST_TIMES = 2
+#: holds so many letters,
+LEAST_LETTERS = 3
+#: and takes this share of the page's characters with all its occurrences.
+LEAST_DENSITY = 0.005
+#: Covered share of an item that makes it a keyword or slogan as a whole.
+ITEM_SHARE = 0.3
+#: Most words in the name of a price entry.
+PRICE_WORDS = 4
+#: So many items in a row with the same number of words, two to ``ENTRY_WORDS``, and the same separator are entries of a list.
+ENTRY_RUN, ENTRY_WORDS = 5, 4
+#: A segment of more tokens than this without any separator is a string of items.
+UNMARKED = 20
 
 _CUT = re.compile(r"\n+|<br\s*/?>|(?<=[.!?])\s+")
 _ROLE = re.compile(r"\s*(?:user|assistant|tool|system|human|q|a|question|answer)\s*:", re.I)
@@ -64,18 +92,27 @@ _SETTING = re.compile(r"(?:^|\s)[A-Za-z_]\w*=\S")
 _NOTATION = re.compile(r"(?:^|[\s\"',;:])(?=[^\s\"',;]*[(\[=])[BCNOPSFIHlrcnospb0-9@+\-\[\]()=#%/\\]{6,}(?=$|[\s\"',;:.?!])")
 _TOKEN = re.compile(
     r"(?P<link><[^<>]*>|\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:[a-z]{2,})\b(?:/[^\s<>\"')\]]*)?)"
-    r"|(?P<tag>#\w+)|(?P<number>[$€£]?\d[\d.,]*\w*%?)|(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<mark>[^\w\s])"
+    r"|(?P<tag>#\w+)|(?P<number>[$€£]?\d[\d.,]*\w*%?)|(?P<sign>[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff])"
+    r"|(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<mark>[^\w\s]|_)|(?P<gap>[\xa0\u2002-\u2003\t]+)"
 )
+#: Marks that end an item.
+_ENDS = frozenset(",;|•·~!?.、。，；\t\n\xa0/")
+_PRICE = re.compile(r"[$€£]?\d+(?:[.,]\d{1,2})?(?:[$€£]|eur|usd)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _LINK = re.compile(r"<[^<>]*>|(?:https?://|www\.)[^\s<>\"')\]]+")
 
 
-def repeated(symbols: list[int]) -> list[bool]:
-    """Which places of a sequence lie in a substring that occurs again in it, by its suffix automaton.
+def repeated(symbols: list[int], sizes: list[int], letters: list[int], least: float, times: int = LEAST_TIMES, least_letters: int = LEAST_LETTERS) -> list[bool]:
+    """Which places of a sequence lie in a maximal repeated substring that covers, by its suffix automaton.
+
+    ``sizes`` and ``letters`` are the characters and letters of each place.  A
+    substring covers if it occurs ``times`` times, holds ``least_letters``
+    letters and its occurrences take ``least`` characters together.
 
-    A place is covered if the longest repeated substring that ends at or behind
-    it reaches back to it.  The state after each prefix leads along suffix links
-    to its longest suffix that ends in more than one place.
+    The state after each prefix leads along suffix links to its longest suffix
+    that occurs often enough, a maximal repeat to the left.  A shorter suffix of
+    it occurs more often but has fewer characters, so each suffix on the way is
+    tried until one covers.
     """
     n = len(symbols)
     nxt: list[dict[int, int]] = [{}]
@@ -109,17 +146,32 @@ def repeated(symbols: list[int]) -> list[bool]:
                 link[q] = link[cur] = clone
         last = cur
     by_length = sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True)
+    last_end = [0] * len(nxt)
+    for i, state in enumerate(order):
+        last_end[state] = i
     for s in by_length:
-        if link[s] > 0:
-            ends[link[s]] += ends[s]
-    # Longest repeated suffix of each prefix.
+        up = link[s]
+        if up > 0:
+            ends[up] += ends[s]
+            last_end[up] = max(last_end[up], last_end[s])
+    upto, letters_upto = [0], [0]
+    for size, many in zip(sizes, letters):
+        upto.append(upto[-1] + size)
+        letters_upto.append(letters_upto[-1] + many)
+    # Longest covering suffix of each state's substrings; the same symbols have about the same size wherever they stand.
     best = [0] * len(nxt)
     for s in reversed(by_length):
-        best[s] = length[s] if ends[s] > 1 else best[link[s]]
+        best[s] = best[link[s]]
+        if ends[s] >= times:
+            end = last_end[s] + 1
+            start = end - length[s]
+            if ends[s] * (upto[end] - upto[start]) >= least and letters_upto[end] - letters_upto[start] >= least_letters:
+                best[s] = length[s]
     covered = [False] * n
     back = n
     for i in range(n - 1, -1, -1):
-        back = min(back, i + 1 - best[order[i]])
+        if best[order[i]]:
+            back = min(back, i + 1 - best[order[i]])
         covered[i] = back <= i
     return covered
 
@@ -203,34 +255,85 @@ def _is_strung(cut: list[str], words_of: list[list[str] | None]) -> bool:
     return any(places >= least and turns >= share * places for least, share in ALTERNATING)
 
 
-def _covered(segments: list[tuple[str, bool]]) -> int:
-    """Visible characters of clauseless segments in repeated substrings, links, tags and prices."""
+def _covered(segments: list[tuple[str, bool]], chars: int) -> int:
+    """Visible characters of clauseless segments in repeated substrings, links, tags and price entries."""
     tokens = []
+    opens: set[int] = set()  # where items begin in strings without separators: at words with a capital
     for s, clauseless in segments:
-        if clauseless:
-            for m in _TOKEN.finditer(s):
-                tokens.append((m.lastgroup, m.group()))
-            tokens.append(("mark", "\n"))
-    counts = Counter(t.lower() for k, t in tokens if k == "word")
+        first = len(tokens)
+        tokens += [(m.lastgroup, m.group(), clauseless) for m in _TOKEN.finditer(s)]
+        if len(tokens) - first > UNMARKED and not any(t in _ENDS for _, t, _ in tokens[first:]):
+            opens.update(i for i in range(first, len(tokens)) if tokens[i][1].istitle())
+        tokens.append(("gap", "\n", clauseless))
     ids: dict[str, int] = {}
-    symbols = []
-    for kind, t in tokens:
-        if kind == "word":
-            low = t.lower()
-            key = low if counts[low] > 1 else "\0Name" if t[0].isupper() else "\0word"
-        elif kind == "mark":
-            key = t
-        else:
-            key = "\0" + kind
-        symbols.append(ids.setdefault(key, len(ids)))
-    hit = repeated(symbols)
-    return sum(len(t) - t.count(" ") for (kind, t), h in zip(tokens, hit) if t != "\n" and (h or kind in ("link", "tag", "number")))
+    symbols = [ids.setdefault(t.lower() if _literal(kind, t) or kind == "mark" else "\0" + kind, len(ids)) for kind, t, _ in tokens]
+    sizes = [len(t) - t.count(" ") if kind != "gap" else 0 for kind, t, _ in tokens]
+    hit = repeated(symbols, sizes, [n if _literal(kind, t) else 0 for (kind, t, _), n in zip(tokens, sizes)], LEAST_DENSITY * chars)
+    items: list[list[int]] = [[]]
+    for i, (kind, t, _) in enumerate(tokens):
+        if kind == "word" and i in opens and items[-1]:
+            items.append([])
+        items[-1].append(i)
+        if t in _ENDS or kind in ("gap", "link"):
+            items.append([])
+    out = 0
+    entries: list[tuple[int, int]] = []  # of the run of entries so far: all characters, those counted on their own
+    last = None
+    for item in items:
+        if not item or not tokens[item[0]][2]:
+            continue
+        size, own = _item([(*tokens[j][:2], sizes[j], hit[j]) for j in item])
+        out += own
+        words = sum(tokens[j][0] in ("word", "number") for j in item)
+        end = tokens[item[-1]][1]
+        # The last entry of a line ends with the line and not with the separator.
+        if last is None or words != last[0] or end not in (last[1], "\n"):
+            out += _entries(entries)
+            entries = []
+        last = words, end
+        if 2 <= words <= ENTRY_WORDS:
+            entries.append((size, own))
+    return out + _entries(entries)
+
+
+def _entries(run: list[tuple[int, int]]) -> int:
+    """Further characters that a run of items of one shape adds."""
+    return sum(size - own for size, own in run) if len(run) >= ENTRY_RUN else 0
+
+
+def _literal(kind: str, t: str) -> bool:
+    """Words, signs, and sizes with their unit stand for themselves."""
+    return kind in ("word", "sign") or kind == "number" and not t[-1].isdigit() and t[-1] not in ".,"
+
+
+def _item(tokens: list[tuple[str, str, int, bool]]) -> tuple[int, int]:
+    """Characters of an item, and those that count: all of a keyword, slogan or price entry, else those covered and its links and tags."""
+    size = sum(n for _, _, n, _ in tokens)
+    own = sum(n for kind, _, n, h in tokens if h or kind in ("link", "tag"))
+    if own >= ITEM_SHARE * size:
+        return size, size
+    words = [t for kind, t, _, _ in tokens if kind == "word"]
+    prices = [t for kind, t, _, _ in tokens if kind == "number"]
+    priced = 0 < len(words) <= PRICE_WORDS and len(prices) == 1 and _PRICE.fullmatch(prices[0].rstrip(".,"))
+    return size, size if priced else own
+
+
+def clauseless_share(text: str) -> tuple[list[tuple[str, bool]], int, int]:
+    """A page's segments, its visible characters, and those in segments without clause structure."""
+    segments, chars = _segments(text)
+    return segments, chars, sum(len(s) - s.count(" ") for s, bare in segments if bare)
 
 
 def measure(text: str) -> tuple[int, int, int]:
     """Visible characters, those without clause structure, and those of them that are covered."""
-    segments, chars = _segments(text)
-    return chars, sum(len(s) - s.count(" ") for s, bare in segments if bare), _covered(segments)
+    segments, chars, bare = clauseless_share(text)
+    return chars, bare, _covered(segments, chars)
+
+
+def is_stuffed(text: str) -> bool:
+    """Whether the covered characters are more than ``STUFFED_SHARE``; without an automaton where they cannot be."""
+    segments, chars, bare = clauseless_share(text)
+    return bare > STUFFED_SHARE * chars and _covered(segments, chars) > STUFFED_SHARE * chars
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,12 +343,20 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _stuffed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.loc[[is_stuffed(t) for t in pdf["text"]], ["doc_id"]]
+
+
+def _pages(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
+
+
 def measure_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id, chars, clauseless, covered)`` of every page with visible text; characters without blanks."""
-    pages = documents.select("doc_id", "text").where(F.col("text").rlike(r"\S"))
-    return pages.mapInPandas(_measure, "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
+    return _pages(documents).mapInPandas(_measure, "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id)`` of the pages that consist of keywords, links, prices and tags for more than half."""
-    return measure_pages(documents).where(F.col("covered") > F.lit(STUFFED_SHARE) * F.col("chars")).select("doc_id")
+    return _pages(documents).mapInPandas(_stuffed, "doc_id bigint")

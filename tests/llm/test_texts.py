@@ -112,21 +112,25 @@ def test_mixes(spark, docs):
     assert none.count() == 0
 
 
-def repeated_by_force(s):
+def repeated_by_force(s, sizes, letters, least, times, least_letters):
     n = len(s)
     hit = [False] * n
     for i in range(n):
         for j in range(i + 1, n + 1):
-            if any(s[k : k + j - i] == s[i:j] for k in range(n - (j - i) + 1) if k != i):
+            found = sum(s[k : k + j - i] == s[i:j] for k in range(n - (j - i) + 1))
+            if found >= times and found * sum(sizes[i:j]) >= least and sum(letters[i:j]) >= least_letters:
                 hit[i:j] = [True] * (j - i)
     return hit
 
 
 def test_automaton_against_brute_force():
     rng = random.Random(7)
-    for _ in range(300):
+    for _ in range(400):
         s = [rng.randint(0, rng.choice([1, 3, 9])) for _ in range(rng.randint(0, 18))]
-        assert stuffing.repeated(s) == repeated_by_force(s)
+        size_of, letters_of = [rng.randint(1, 4) for _ in range(10)], [rng.randint(0, 2) for _ in range(10)]
+        rule = (rng.choice([1, 6, 12]), rng.choice([2, 3]), rng.choice([1, 3]))
+        sizes, letters = [size_of[c] for c in s], [letters_of[c] for c in s]
+        assert stuffing.repeated(s, sizes, letters, *rule) == repeated_by_force(s, sizes, letters, *rule)
 
 
 PROSE = "The sample was dried before noon. Nobody could say why the value rose after the second reading. We wrote it down and went home. "
@@ -151,6 +155,31 @@ def test_stuffed_and_clean_pages(spark):
     assert stuffing.stuffed_pages(df.where("false")).count() == 0
 
 
+FOREIGN = [
+    "Wczoraj rano pojechaliśmy do małego miasteczka nad rzeką, gdzie mieszka moja ciotka. Pogoda była piękna, więc po śniadaniu poszliśmy na spacer "
+    "wzdłuż brzegu i rozmawialiśmy o dawnych czasach. Ciotka opowiadała, jak w młodości pracowała w laboratorium i badała nowe związki.",
+    "Вчера утром мы поехали в небольшой город у реки, где живёт моя тётя. Погода была прекрасная, поэтому мы пошли гулять вдоль берега и говорили "
+    "о прежних временах. Тётя рассказывала, как в молодости работала в лаборатории и изучала новые соединения.",
+    "昨日の朝、私たちは叔母が住んでいる川沿いの小さな町へ出かけました。天気がとても良かったので、朝食の後に岸辺を散歩しながら昔の話をしました。",
+    "Gisteren reden we naar een klein stadje aan de rivier, waar mijn tante woont. Het weer was prachtig, dus gingen we wandelen langs de oever.",
+    "Ieri mattina siamo andati in una piccola città lungo il fiume, dove abita mia zia. Il tempo era bellissimo, così abbiamo passeggiato sulla riva.",
+    "Inventory\n" + "\n".join("aspirin caffeine toluene benzene phenol aniline pyridine furan thiophene indole quinoline glucose ribose".split()),
+]
+
+
+def test_only_repetition_tells_keywords_from_prose_of_unlisted_languages(monkeypatch):
+    """Neither has listed function words, so the automaton decides."""
+    stuffed = ["tani odczynnik, sklep, tani sklep, odczynnik, " * 6, "安い試薬、試薬販売、安い試薬、試薬卸売、" * 6, "купить реактив | реактив | " * 8]
+    for text in FOREIGN + stuffed:
+        chars, bare, _ = stuffing.measure(text)
+        assert bare > 0.5 * chars or text in FOREIGN[3:5]
+    assert [stuffing.is_stuffed(t) for t in FOREIGN + stuffed] == [False] * len(FOREIGN) + [True] * 3
+    monkeypatch.setattr(stuffing, "repeated", lambda symbols, *_: [True] * len(symbols))
+    assert all(stuffing.is_stuffed(t) for t in [*FOREIGN[:3], FOREIGN[5]])
+    monkeypatch.setattr(stuffing, "repeated", lambda symbols, *_: [False] * len(symbols))
+    assert not any(stuffing.is_stuffed(t) for t in stuffed)
+
+
 def test_long_page_takes_linear_time():
     import time
 
