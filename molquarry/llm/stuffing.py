@@ -21,8 +21,8 @@ function words lacks clause structure by the first measure, but does not repeat
 itself, so the second keeps it; release notes and logs repeat themselves, but
 have clauses or are data.
 
-Tokens are words, links, tags, numbers and marks; a character of a script
-without blanks is a token of its own.  Words stand for themselves in lower
+Tokens are words, links, tags, numbers and marks; a word glued of two words of
+the page is both, a character of a script without blanks is a token of its own.  Words stand for themselves in lower
 case, links, tags and numbers for their kind.
 
 Scale: one pass over the documents, no shuffle; cost grows with each page's
@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import ne
 
 import pandas as pd
@@ -80,7 +80,7 @@ LEAST_DENSITY = 0.005
 ITEM_SHARE = 0.3
 #: Most words in the name of a price entry.
 PRICE_WORDS = 4
-#: So many items in a row with the same number of words, two to ``ENTRY_WORDS``, and the same separator are entries of a list.
+#: So many items in a row of two to ``ENTRY_WORDS`` words with the same separator, no sentence mark, are entries of a list.
 ENTRY_RUN, ENTRY_WORDS = 5, 4
 #: A segment of more tokens than this without any separator is a string of items.
 UNMARKED = 20
@@ -258,10 +258,13 @@ def _is_strung(cut: list[str], words_of: list[list[str] | None]) -> bool:
 def _covered(segments: list[tuple[str, bool]], chars: int) -> int:
     """Visible characters of clauseless segments in repeated substrings, links, tags and price entries."""
     tokens = []
+    glued = _unglue(segments)
     opens: set[int] = set()  # where items begin in strings without separators: at words with a capital
     for s, clauseless in segments:
         first = len(tokens)
-        tokens += [(m.lastgroup, m.group(), clauseless) for m in _TOKEN.finditer(s)]
+        for m in _TOKEN.finditer(s):
+            kind, t = m.lastgroup, m.group()
+            tokens += [(kind, part, clauseless) for part in (glued(t) if kind == "word" else (t,))]
         if len(tokens) - first > UNMARKED and not any(t in _ENDS for _, t, _ in tokens[first:]):
             opens.update(i for i in range(first, len(tokens)) if tokens[i][1].istitle())
         tokens.append(("gap", "\n", clauseless))
@@ -285,17 +288,33 @@ def _covered(segments: list[tuple[str, bool]], chars: int) -> int:
         size, own = _item([(*tokens[j][:2], sizes[j], hit[j]) for j in item])
         out += own
         words = sum(tokens[j][0] in ("word", "number") for j in item)
-        end = tokens[item[-1]][1]
+        end = tokens[item[-1]][1] if tokens[item[-1]][1] in _ENDS else ""
         # The last entry of a line ends with the line and not with the separator.
-        if last is None or words != last[0] or end not in (last[1], "\n"):
+        if not 2 <= words <= ENTRY_WORDS or end in ".!?" and end or end not in (last, "\n"):
             out += _entries(entries)
             entries = []
-        last = words, end
+        last = end
         if 2 <= words <= ENTRY_WORDS:
             entries.append((size, own))
     return out + _entries(entries)
 
 
+def _unglue(segments: list[tuple[str, bool]]) -> Callable[[str], tuple[str, ...]]:
+    """A function that takes a word apart that is glued of two words of the page, the first of which occurs again."""
+    counts = Counter(w for s, _ in segments for w in _WORD.findall(s.lower()))
+    known: dict[str, int] = {}
+
+    def parts(word: str) -> tuple[str, ...]:
+        low = word.lower()
+        if low not in known:
+            cuts = (i for i in range(len(low) - LEAST_LETTERS, LEAST_LETTERS - 1, -1) if counts[low[:i]] >= LEAST_TIMES and counts[low[i:]])
+            known[low] = next(cuts, 0)
+        at = known[low]
+        return (word[:at], word[at:]) if at else (word,)
+
+    return parts
+
+
 def _entries(run: list[tuple[int, int]]) -> int:
     """Further characters that a run of items of one shape adds."""
     return sum(size - own for size, own in run) if len(run) >= ENTRY_RUN else 0
