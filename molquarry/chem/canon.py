@@ -1,8 +1,8 @@
 """Canonical ranking and writing of molecules.
 
 Atoms are ranked by refining invariants over neighbours (ties are split one at
-a time), mirror forms take part in the refinement, and a depth-first walk in
-rank order writes the text.  Two readable spellings of one molecule give the
+a time), mirror forms and the sides of double bonds take part in the
+refinement, and a depth-first walk in rank order writes the text.  Two readable spellings of one molecule give the
 same text.
 """
 
@@ -32,9 +32,12 @@ def _refine(rank: list[int], links: list[list[tuple[int, int]]]) -> list[int]:
     n = len(rank)
     classes = len(set(rank))
     while True:
-        new = _dense([(rank[i], *sorted([(rank[j], o) for j, o in links[i]])) for i in range(n)])
-        count = len(set(new))
-        if count == classes:
+        # Neighbour and bond kind in one number.
+        keys = [(r, *sorted([8 * rank[j] + o for j, o in row])) for r, row in zip(rank, links)]
+        ids = {k: r for r, k in enumerate(sorted(set(keys)))}
+        new = [ids[k] for k in keys]
+        count = len(ids)
+        if count == classes or count == n:
             return new
         rank, classes = new, count
 
@@ -52,8 +55,26 @@ def _parities(m: Molecule, rank: list[int]) -> dict[int, int]:
     return out
 
 
-def ranks(m: Molecule) -> tuple[list[int], dict[int, int]]:
-    """A distinct canonical rank for each atom, and the mirror signs that count."""
+def _sides(m: Molecule, rank: list[int]) -> dict[tuple[int, int], int]:
+    """Form of each double bond whose ends' neighbours are told apart by rank: 1 if the highest lie on one side, else 2."""
+    out = {}
+    for (a, b), (x, y, same) in m.sides.items():
+        tops = (_top(m, rank, a, b), _top(m, rank, b, a))
+        if None not in tops:
+            out[a, b] = 1 if same ^ (tops[0] != x) ^ (tops[1] != y) else 2
+    return out
+
+
+def _top(m: Molecule, rank: list[int], end: int, other: int) -> int | None:
+    """The neighbour of highest rank at one end of a double bond; None if the two there are alike."""
+    near = [j for j in m.nbr[end] if j != other]
+    if len({rank[j] for j in near}) < len(near):
+        return None
+    return max(near, key=rank.__getitem__, default=None)
+
+
+def classes(m: Molecule) -> tuple[list[int], dict, list[list[tuple[int, int]]]]:
+    """Ranks that atoms alike share, the mirror signs and sides that count, and the neighbours with bond kinds."""
     n = len(m)
     links = []
     for i in range(n):
@@ -63,14 +84,26 @@ def ranks(m: Molecule) -> tuple[list[int], dict[int, int]]:
         links.append(row)
     rank = _dense([(m.sym[i], len(m.nbr[i]), m.hs[i], m.charge[i], m.iso[i], m.arom[i]) for i in range(n)])
     rank = _refine(rank, links)
-    signs: dict[int, int] = {}
-    if any(m.chir):
+    signs: dict = {}
+    if any(m.chir) or m.sides:
         while True:
-            new = _parities(m, rank)
+            new = _parities(m, rank) | _sides(m, rank)
             if new == signs or len(new) < len(signs):
                 break
             signs = new
-            rank = _refine(_dense([(rank[i], signs.get(i, 0)) for i in range(n)]), links)
+            own = [[signs.get(i, 0)] for i in range(n)]
+            for key, v in signs.items():
+                if isinstance(key, tuple):
+                    own[key[0]].append(v)
+                    own[key[1]].append(v)
+            rank = _refine(_dense([(rank[i], own[i][0], *sorted(own[i][1:])) for i in range(n)]), links)
+    return rank, signs, links
+
+
+def ranks(m: Molecule) -> tuple[list[int], dict]:
+    """A distinct canonical rank for each atom, and the mirror signs (by atom) and sides (by double bond) that count."""
+    n = len(m)
+    rank, signs, links = classes(m)
     while len(set(rank)) < n:
         members: dict[int, list[int]] = {}
         for i, r in enumerate(rank):
@@ -83,6 +116,39 @@ def ranks(m: Molecule) -> tuple[list[int], dict[int, int]]:
     return rank, signs
 
 
+def _marked(m: Molecule, rank: list[int], signs: dict) -> dict[tuple[int, int], list]:
+    """Marks of the single bonds beside double bonds: bond (low, high) -> [1 or -1, its group]; a group's marks turn together."""
+    ties: dict[tuple[int, int], list[tuple[tuple[int, int], int]]] = {}
+
+    def tie(a: int, x: int, b: int, y: int, way: int) -> None:
+        """Neighbours x of a and y of b lie on one side (1) or on two (-1)."""
+        p, q = ((a, x) if a < x else (x, a)), ((b, y) if b < y else (y, b))
+        way *= (1 if a < x else -1) * (1 if b < y else -1)
+        ties.setdefault(p, []).append((q, way))
+        ties.setdefault(q, []).append((p, way))
+
+    doubles = [k for k in signs if isinstance(k, tuple)]
+    for a, b in doubles:
+        tie(a, _top(m, rank, a, b), b, _top(m, rank, b, a), 1 if signs[a, b] == 1 else -1)
+    for a, b in doubles:  # both neighbours of an end, if the other is marked for a double bond of its own
+        for end, other in ((a, b), (b, a)):
+            near = [j for j in m.nbr[end] if j != other]
+            if len(near) == 2 and all(((end, j) if end < j else (j, end)) in ties for j in near):
+                tie(end, near[0], end, near[1], -1)
+    out: dict[tuple[int, int], list] = {}
+    for start in ties:
+        if start not in out:
+            group = [0]  # what turns the group's marks, set when the first of them is written
+            out[start] = [1, group]
+            todo = [start]
+            for p in todo:
+                for q, way in ties[p]:
+                    if q not in out:
+                        out[q] = [out[p][0] * way, group]
+                        todo.append(q)
+    return out
+
+
 def _atom(m: Molecule, i: int, mark: str) -> str:
     sym = m.sym[i].lower() if m.arom[i] else m.sym[i]
     if not mark and not m.charge[i] and not m.iso[i] and m.sym[i] in _ORGANIC:
@@ -96,16 +162,23 @@ def _atom(m: Molecule, i: int, mark: str) -> str:
     return f"[{m.iso[i] or ''}{sym}{mark}{h}{sign}]"
 
 
-def write_smiles(m: Molecule, rank: list[int], signs: dict[int, int]) -> str:
-    """Text of the molecule, walked from the lowest rank."""
+def write_smiles(m: Molecule, rank: list[int], signs: dict) -> str:
+    """Text of the molecule, walked from the lowest rank; the first mark of a group of double bonds is ``/``."""
     n = len(m)
     neighbours = [sorted(m.nbr[i], key=rank.__getitem__) for i in range(n)]
     seen = [False] * n
     parts = []
+    marks = _marked(m, rank, signs) if m.sides else {}
 
     def bond(i: int, j: int) -> str:
-        if ((i, j) if i < j else (j, i)) in m.arom_bonds:
+        e = (i, j) if i < j else (j, i)
+        if e in m.arom_bonds:
             return ""
+        if e in marks:
+            up, group = marks[e]
+            up = up if i < j else -up
+            group[0] = group[0] or up
+            return "/" if up == group[0] else "\\"
         o = m.nbr[i][j]
         return ("", "-" if m.arom[i] and m.arom[j] else "", "=", "#", "$")[o]
 
@@ -155,6 +228,9 @@ def write_smiles(m: Molecule, rank: list[int], signs: dict[int, int]) -> str:
             if isinstance(x, str):
                 out.append(x)
                 continue
+            if isinstance(x, tuple):
+                out.append(x[2] + bond(x[0], x[1]))
+                continue
             i = x
             ends = sorted(closes.get(i, ()), key=lambda p: (p[1] not in digits, rank[p[0]]))
             mark = ""
@@ -185,10 +261,9 @@ def write_smiles(m: Molecule, rank: list[int], signs: dict[int, int]) -> str:
             out.append(text)
             kids = children[i]
             if kids:
-                todo.append(kids[-1])
-                todo.append(bond(i, kids[-1]))
+                todo += [kids[-1], (i, kids[-1], "")]
                 for j in reversed(kids[:-1]):
-                    todo += [")", j, "(" + bond(i, j)]
+                    todo += [")", j, (i, j, "(")]
         parts.append("".join(out))
     return ".".join(sorted(parts))
 

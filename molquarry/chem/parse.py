@@ -4,7 +4,8 @@
 (broken brackets, open rings, impossible valences, rings that cannot be
 kekulised, aromatic atoms outside rings, empty text).  Both aromatic and
 alternating-bond spellings of a ring end in the same perceived form.
-Double-bond direction marks (``/`` and ``\\``) are read as single bonds.
+Direction marks (``/`` and ``\\``) at both ends of a double bond tell which
+neighbours lie on the same side; marks that contradict each other tell nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ VALENCES = {
 _ISO = {"B": {-1: "C"}, "C": {1: "B", -1: "N"}, "N": {1: "C", -1: "O"}, "O": {1: "N", -1: "F"}, "S": {1: "P", -1: "Cl"}, "P": {1: "Si"}}
 
 _AROMATIC = {"b": "B", "c": "C", "n": "N", "o": "O", "p": "P", "s": "S", "se": "Se", "as": "As"}
+_UP = {"/": 1, "\\": -1}
+#: Double bonds in rings of fewer atoms have one form only.
+FREE_RING = 8
 _BONDS = {"-": 1, "=": 2, "#": 3, "$": 4, ":": 5, "/": 1, "\\": 1}
 _TOKEN = re.compile(r"(\[[^\[\]]*\])|(Br|Cl|[BCNOPSFI])|([bcnops])|([-=#$:/\\])|([()])|(%\d\d|\d)|(\.)")
 _BRACKET = re.compile(r"(\d+)?([A-Z][a-z]?|se|as|[bcnops])(@@|@)?(?:(H)(\d)?)?(\+{1,3}|-{1,3}|[+-]\d)?(?::\d+)?")
@@ -38,7 +42,7 @@ _BRACKET = re.compile(r"(\d+)?([A-Z][a-z]?|se|as|[bcnops])(@@|@)?(?:(H)(\d)?)?(\
 class Molecule:
     """Atoms as parallel lists; ``nbr[i]`` maps neighbour to bond order (4 kekulised single/double/triple: 1, 2, 3)."""
 
-    __slots__ = ("sym", "charge", "iso", "hs", "nbr", "arom", "chir", "order", "arom_bonds", "rings")
+    __slots__ = ("sym", "charge", "iso", "hs", "nbr", "arom", "chir", "order", "arom_bonds", "rings", "up", "sides")
 
     def __init__(self):
         self.sym, self.charge, self.iso, self.hs = [], [], [], []
@@ -48,6 +52,11 @@ class Molecule:
         self.order: list[list[int]] = []  # neighbours in reading order, -1 for the hydrogen in brackets
         self.arom_bonds: set[tuple[int, int]] = set()
         self.rings: list[list[int]] = []
+        self.up: dict[tuple[int, int], int] = {}  # marked bonds, both ways: 1 if the second atom lies above the first
+        self.sides: dict[tuple[int, int], tuple[int, int, bool]] = {}  # double bond a < b: neighbour of a, of b, on one side?
+
+    def mark(self, i: int, j: int, up: int) -> None:
+        self.up[i, j], self.up[j, i] = up, -up
 
     def __len__(self):
         return len(self.sym)
@@ -59,12 +68,11 @@ def _read(s: str):
     lower: list[bool] = []
     fixed_h: list[int | None] = []
     prev, bond, stack, opened = -1, 0, [], {}
+    up = 0
     after_open = False
-    pos, end = 0, len(s)
-    token = _TOKEN.match
-    while pos < end:
-        t = token(s, pos)
-        if t is None:
+    pos = 0
+    for t in _TOKEN.finditer(s):
+        if t.start() != pos:
             return None
         pos = t.end()
         kind, text = t.lastindex, t.group()
@@ -108,6 +116,9 @@ def _read(s: str):
                 m.nbr[i][prev] = m.nbr[prev][i] = order
                 m.order[i].append(prev)
                 m.order[prev].append(i)
+                if up:
+                    m.mark(prev, i, up)
+                    up = 0
             elif bond:
                 return None
             if has_h:
@@ -117,6 +128,7 @@ def _read(s: str):
             if bond or prev < 0:
                 return None
             bond = _BONDS[text]
+            up = _UP.get(text, 0)
         elif kind == 5:
             if text == "(":
                 if prev < 0 or bond or after_open:
@@ -132,22 +144,24 @@ def _read(s: str):
                 return None
             n = int(text[1:]) if text[0] == "%" else int(text)
             if n in opened:
-                j, b0, slot = opened.pop(n)
+                j, b0, slot, up0 = opened.pop(n)
                 if j == prev or j in m.nbr[prev] or (b0 and bond and b0 != bond):
                     return None
                 order = b0 or bond or (5 if lower[j] and lower[prev] else 1)
                 m.nbr[prev][j] = m.nbr[j][prev] = order
                 m.order[prev].append(j)
                 m.order[j][slot] = prev
+                if up or up0:
+                    m.mark(prev, j, up or -up0)
             else:
-                opened[n] = (prev, bond, len(m.order[prev]))
+                opened[n] = (prev, bond, len(m.order[prev]), up)
                 m.order[prev].append(-2)
-            bond = 0
+            bond = up = 0
         else:
             if prev < 0 or bond or stack:
                 return None
             prev = -1
-    if not m.sym or stack or opened or bond or prev < 0:
+    if pos != len(s) or not m.sym or stack or opened or bond or prev < 0:
         return None
     return m, lower, fixed_h
 
@@ -252,38 +266,9 @@ def _kekulise(m: Molecule, lower: list[bool], fixed_h: list[int | None], in_ring
             need[i] = []
     for i in need:
         need[i] = [j for j, o in m.nbr[i].items() if o == 5 and j in need]
-    match: dict[int, int] = {}
-
-    def augment(i: int, seen: set[int]) -> bool:
-        for j in need[i]:
-            if j in seen:
-                continue
-            seen.add(j)
-            k = match.get(j)
-            if k is None or (k != i and augment(k, seen)):
-                match[j] = i
-                match[i] = j
-                return True
+    match = _matching(need)
+    if len(match) < len(need):
         return False
-
-    # Greedy walk first, then augmenting paths over the general graph (aromatic systems are near bipartite).
-    for i in need:
-        if i not in match:
-            for j in need[i]:
-                if j not in match:
-                    match[i] = j
-                    match[j] = i
-                    break
-    free = [i for i in need if i not in match]
-    while free:
-        i = free.pop()
-        path = _alternating(i, need, match)
-        if path is None:
-            return False
-        for a, b in path:
-            match[a] = b
-            match[b] = a
-        free = [x for x in free if x not in match]
     for i in range(len(m)):
         for j, o in m.nbr[i].items():
             if o == 5:
@@ -291,37 +276,86 @@ def _kekulise(m: Molecule, lower: list[bool], fixed_h: list[int | None], in_ring
     return True
 
 
-def _alternating(root: int, need: dict[int, list[int]], match: dict[int, int]):
-    """An alternating path from an unmatched atom to another one, found depth first without repeating atoms."""
-    stack = [(root, iter(need[root]))]
-    on = {root}
-    pairs: list[tuple[int, int]] = []
-    steps = 0
-    while stack:
-        steps += 1
-        if steps > 20000:
-            return None
-        x, it = stack[-1]
-        for y in it:
-            if y in on:
-                continue
-            if y not in match:
-                return [*pairs, (x, y)]
-            z = match[y]
-            if z in on:
+def _matching(links: dict[int, list[int]]) -> dict[int, int]:
+    """A largest matching of a graph, both ways; odd cycles are shrunk to their base, so no search is cut short."""
+    match: dict[int, int] = {}
+    for i, near in links.items():  # a greedy start leaves few atoms
+        if i not in match:
+            j = next((j for j in near if j not in match), None)
+            if j is not None:
+                match[i], match[j] = j, i
+
+    def grow(root: int) -> bool:
+        base = {i: i for i in links}
+        before: dict[int, int] = {}
+        even = {root}
+        queue = [root]
+
+        def trunk(i: int):
+            """Bases from an even atom to the root."""
+            while True:
+                i = base[i]
+                yield i
+                if i == root:
+                    return
+                i = before[match[i]]
+
+        def shrink(i: int, j: int, top: int, inside: set[int]) -> None:
+            while base[i] != top:
+                inside |= {base[i], base[match[i]]}
+                before[i] = j
+                j = match[i]
+                i = before[j]
+
+        for x in queue:
+            for y in links[x]:
+                if base[x] == base[y] or match.get(x) == y:
+                    continue
+                if y in even:
+                    own = set(trunk(x))
+                    top = next(i for i in trunk(y) if i in own)
+                    inside: set[int] = set()
+                    shrink(x, y, top, inside)
+                    shrink(y, x, top, inside)
+                    for i in links:
+                        if base[i] in inside:
+                            base[i] = top
+                            if i not in even:
+                                even.add(i)
+                                queue.append(i)
+                elif y not in before:
+                    before[y] = x
+                    if y not in match:
+                        while y is not None:
+                            x = before[y]
+                            following = match.get(x)
+                            match[x], match[y] = y, x
+                            y = following
+                        return True
+                    even.add(match[y])
+                    queue.append(match[y])
+        return False
+
+    for i in links:
+        if i not in match:
+            grow(i)
+    return match
+
+
+def _find_sides(m: Molecule) -> None:
+    """Which marked neighbours of each double bond lie on one side; double bonds in small rings have one form only."""
+    small = {(min(r[k], r[k - 1]), max(r[k], r[k - 1])) for r in m.rings if len(r) < FREE_RING for k in range(len(r))}
+    for a in range(len(m)):
+        for b, o in m.nbr[a].items():
+            if o != 2 or a > b or (a, b) in small or (a, b) in m.arom_bonds:
                 continue
-            on.add(y)
-            on.add(z)
-            pairs.append((x, y))
-            stack.append((z, iter(need[z])))
-            break
-        else:
-            stack.pop()
-            if pairs:
-                _, y = pairs.pop()
-                on.discard(y)
-                on.discard(x)
-    return None
+            ends = []
+            for end, other in ((a, b), (b, a)):
+                marked = [(m.up[end, j], j) for j in m.nbr[end] if j != other and (end, j) in m.up]
+                if marked and len({u for u, _ in marked}) == len(marked) and len(m.nbr[end]) + m.hs[end] <= 3:
+                    ends.append(marked[0])
+            if len(ends) == 2:
+                m.sides[a, b] = (ends[0][1], ends[1][1], ends[0][0] == ends[1][0])
 
 
 def _perceive(m: Molecule) -> None:
@@ -389,6 +423,10 @@ def _fold_hydrogens(m: Molecule, fixed_h: list[int | None], lower: list[bool]) -
             fixed_h[j] += 1
         m.order[j] = [-1 if x == i else x for x in m.order[j]]
         del m.nbr[j][i]
+        if (j, i) in m.up:  # what lies beside the hydrogen lies on the other side
+            for x, o in m.nbr[j].items():
+                if o == 1 and (j, x) not in m.up:
+                    m.mark(j, x, -m.up[j, i])
     keep = [i for i in range(len(m)) if i not in gone]
     new = {x: k for k, x in enumerate(keep)} | {-1: -1}
     r = Molecule()
@@ -399,6 +437,7 @@ def _fold_hydrogens(m: Molecule, fixed_h: list[int | None], lower: list[bool]) -
         r.chir.append(m.chir[i])
         r.nbr.append({new[j]: o for j, o in m.nbr[i].items()})
         r.order.append([new[j] for j in m.order[i]])
+    r.up = {(new[i], new[j]): u for (i, j), u in m.up.items() if i in new and j in new}
     return r, [fixed_h[i] for i in keep], [lower[i] for i in keep]
 
 
@@ -438,4 +477,6 @@ def parse_smiles(s: str | None) -> Molecule | None:
             if allowed is not None and used + fixed_h[i] > max(allowed):
                 return None
     _perceive(m)
+    if m.up:
+        _find_sides(m)
     return m

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from .canon import _dense, _parities, _refine, ranks, write_smiles
+from .canon import classes, ranks, write_smiles
 from .parse import WEIGHTS, Molecule, parse_smiles
 
 UNSUPPORTED = ("qed", "pains_alert")
@@ -143,12 +143,7 @@ def rotatable(m: Molecule) -> int:
 
 def stereocentres(m: Molecule) -> int:
     """Tetrahedral carbons with four different substituents, marked or not."""
-    links = [[(j, 5 if _aromatic_bond(m, i, j) else o) for j, o in m.nbr[i].items()] for i in range(len(m))]
-    rank = _dense([(m.sym[i], len(m.nbr[i]), m.hs[i], m.charge[i], m.iso[i], m.arom[i]) for i in range(len(m))])
-    rank = _refine(rank, links)
-    signs = _parities(m, rank)
-    if signs:
-        rank = _refine(_dense([(rank[i], signs.get(i, 0)) for i in range(len(m))]), links)
+    rank, _, _ = classes(m)
     n = 0
     for i, s in enumerate(m.sym):
         if s == "C" and not m.arom[i] and m.hs[i] <= 1 and len(m.nbr[i]) + m.hs[i] == 4 and set(m.nbr[i].values()) == {1}:
