@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Properties with type and tolerance.
 PROPERTIES = (
@@ -21,6 +22,10 @@ PROPERTY_PAIRS = (
 COMPUTE_TOOL = "rdkit_compute"
 NAME_TOOL = "name_to_smiles"
 MAX_TURNS = 6
+# Arguments each tool needs, with the values one may take, and what it says where it has no result.
+TOOLS = {COMPUTE_TOOL: {"smiles": None, "property": ALL_PROPERTIES}, NAME_TOOL: {"name": None}}
+TOOL_TEXTS = {COMPUTE_TOOL: "Compute a property of the molecule given as SMILES.", NAME_TOOL: "Find the SMILES of a molecule by its name."}
+TOOL_ERRORS = {COMPUTE_TOOL: "invalid molecule", NAME_TOOL: "unknown name"}
 # Words that make an answer a question back, or a report of failure.
 CLARIFY_WORDS = {2: ("smiles", "which molecule", "provide", "specify", "what molecule")}
 CLARIFY_WORDS[3] = (*CLARIFY_WORDS[2], "name")
@@ -89,6 +94,20 @@ BENCH_NO_TOOL = (
 )
 
 
+def tools(version: int) -> dict[str, dict[str, tuple[str, ...] | None]]:
+    """The tools that a version of the native format knows: the name tool from version 3 on."""
+    return {k: v for k, v in TOOLS.items() if version >= 3 or k != NAME_TOOL}
+
+
+def metadata(prop: Column, unknown: str = "error") -> Column:
+    """``struct<vtype, tol>`` of a property; one that is not in the list is an error, or null with ``unknown="null"``."""
+    known = F.create_map(*[x for p, t, tol in PROPERTIES for x in (F.lit(p), F.struct(F.lit(t).alias("vtype"), F.lit(tol).cast("double").alias("tol")))])
+    if unknown == "null":
+        return F.try_element_at(known, prop)
+    message = F.raise_error(F.concat(F.lit("unknown property: "), prop)).cast("struct<vtype:string,tol:double>")
+    return F.when(prop.isNull() | prop.isin(*ALL_PROPERTIES), F.try_element_at(known, prop)).otherwise(message)
+
+
 def property_table(spark: SparkSession) -> DataFrame:
     """``(prop, vtype, tol)``, fourteen rows."""
     return spark.createDataFrame(list(PROPERTIES), "prop string, vtype string, tol double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..chem.props import properties
-from ..runtime import width
+from ..runtime import python_map, width
 
 FIELDS = {
     "validity": "boolean", "mw": "double", "logp": "double", "tpsa": "double", "hbd": "int", "hba": "int", "ring_count": "int",
@@ -31,10 +31,8 @@ def _compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features_of(spellings: DataFrame) -> DataFrame:
     """All properties of each distinct non-null ``spelling``; unreadable ones have ``validity`` false and nulls."""
-    return (
-        spellings.select("spelling").where("spelling is not null").distinct()
-        .repartition(width(spellings.sparkSession), F.xxhash64("spelling")).mapInPandas(_compute, SCHEMA)
-    )
+    distinct = spellings.select("spelling").where("spelling is not null").distinct()
+    return python_map(distinct.repartition(width(spellings.sparkSession), F.xxhash64("spelling")), _compute, SCHEMA)
 
 
 def with_features(df: DataFrame, smiles: str = "smiles") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..catalog import ALL_PROPERTIES, COMPUTE_TOOL, NAME_TOOL, V1_PROPERTIES
+from ..catalog import COMPUTE_TOOL, V1_PROPERTIES, tools
 
 # Patterns of the two call formats, the final line and the token separators.
 V1_CALL = r"(?s)TOOL_CALL:\s*(\{.*?\})"
@@ -27,9 +27,34 @@ def _matched(c: Column, pattern: str) -> Column:
     return F.when(found != "", found)
 
 
-def _fields(json: Column) -> Column:
-    """A JSON object as a map of raw texts; null if it is no object."""
-    return F.from_json(json, "map<string,string>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
+def _object(json: Column) -> Column:
+    """A text that is one JSON object as a variant; null for anything else, text behind the object included.
+
+    The decoder reads one value and stops.  Wrapped in brackets and in braces
+    alike, a second value, or whatever else follows, fails one of the two.
+    """
+
+    def check(j: Column) -> Column:
+        def one(listed: Column) -> Column:
+            first = F.try_variant_get(listed, "$[0]", "variant")
+            alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"v":'), j, F.lit("}"))).isNotNull()
+            return F.when(_is_object(first) & alone, first)
+
+        return _let(F.try_parse_json(F.concat(F.lit("["), j, F.lit("]"))), one)
+
+    return _let(json, check)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _argument(v: Column, key: str) -> Column:
+    """An entry of an object as text: null and truth values as Python prints them; null where there is no entry."""
+    path = f'$["{key}"]'
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    text = F.try_variant_get(v, path, "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def _let(value: Column, body) -> Column:
@@ -49,38 +74,38 @@ def parse_v1_call(turn: Column) -> Column:
     """
 
     def body(fields: Column) -> Column:
-        prop = F.lower(strip(fields["property"]))
-        ok = F.map_contains_key(fields, "smiles") & prop.isin(*V1_PROPERTIES)
-        return F.when(ok, F.struct(fields["smiles"].alias("smiles"), prop.alias("prop")))
+        prop = F.lower(strip(_argument(fields, "property")))
+        smiles = _argument(fields, "smiles")
+        return F.when(smiles.isNotNull() & prop.isin(*V1_PROPERTIES), F.struct(smiles.alias("smiles"), prop.alias("prop")))
 
     # Most turns hold no call: a plain search for the marker comes before the pattern and the decoder.
-    return F.when(turn.contains("TOOL_CALL:"), _let(_fields(_matched(turn, V1_CALL)), body))
+    return F.when(turn.contains("TOOL_CALL:"), _let(_object(_matched(turn, V1_CALL)), body))
 
 
 def parse_native_call(turn: Column, version: int = 3) -> Column:
     """``struct<tool, smiles, prop, name>`` of the first native call in a turn, or null.
 
-    Version 2 knows the property tool only, version 3 the name tool too.
+    The call is one JSON object whose ``arguments`` are an object too; the tool
+    and its arguments are those that ``catalog.tools`` declares.
     """
-    none = F.lit(None).cast("string")
 
-    def body(fields: Column) -> Column:
+    def body(call: Column) -> Column:
         def inner(args: Column) -> Column:
-            prop = F.lower(strip(args["property"]))
-            compute = (fields["name"] == COMPUTE_TOOL) & F.map_contains_key(args, "smiles") & prop.isin(*ALL_PROPERTIES)
-            call = F.when(
-                compute, F.struct(F.lit(COMPUTE_TOOL).alias("tool"), args["smiles"].alias("smiles"), prop.alias("prop"), none.alias("name"))
-            )
-            if version >= 3:
-                by_name = (fields["name"] == NAME_TOOL) & F.map_contains_key(args, "name")
-                call = call.when(
-                    by_name, F.struct(F.lit(NAME_TOOL).alias("tool"), none.alias("smiles"), none.alias("prop"), args["name"].alias("name"))
-                )
-            return call
+            out = F.lit(None).cast("struct<tool:string,smiles:string,prop:string,name:string>")
+            for tool, wants in tools(version).items():
+                values = {k: _argument(args, k) if allowed is None else F.lower(strip(_argument(args, k))) for k, allowed in wants.items()}
+                ok = F.try_variant_get(call, "$.name", "string") == tool
+                for k, allowed in wants.items():
+                    ok = ok & (values[k].isNotNull() if allowed is None else values[k].isin(*allowed))
+                none = F.lit(None).cast("string")
+                fields = [F.lit(tool).alias("tool")] + [values.get(k, none).alias(n) for k, n in (("smiles", "smiles"), ("property", "prop"), ("name", "name"))]
+                out = F.when(ok, F.struct(*fields)).otherwise(out)
+            return out
 
-        return _let(_fields(fields["arguments"]), inner)
+        arguments = F.try_variant_get(call, "$.arguments", "variant")
+        return F.when(_is_object(arguments), _let(arguments, inner))
 
-    return F.when(turn.contains("<tool_call>"), _let(_fields(_matched(turn, NATIVE_CALL)), body))
+    return F.when(turn.contains("<tool_call>"), _let(_object(_matched(turn, NATIVE_CALL)), body))
 
 
 def parse_final(turn: Column) -> Column:
@@ -108,11 +133,20 @@ def is_broken_call(turn: Column) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A text as a JSON string literal; ASCII texts as Python's ``json.dumps`` writes them."""
-    t = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, mark in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        t = F.replace(t, F.lit(raw), F.lit(mark))
-    return F.concat(F.lit('"'), t, F.lit('"'))
+    """A text as a JSON string literal as Python's ``json.dumps`` writes it: all but printable ASCII is escaped."""
+    quoted = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    names = F.create_map(*[F.lit(x) for k, v in short.items() for x in (chr(k), v)])
+
+    def escaped(ch: Column) -> Column:
+        # UTF-16 units, as JSON escapes count characters beyond the basic plane as two.
+        units = F.hex(F.encode(ch, "UTF-16BE"))
+        code = F.concat(F.lit("\\u"), F.lower(F.substring(units, 1, 4)), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.lower(F.substring(units, 5, 4)))).otherwise(""))
+        return F.when(ch.rlike("^[ -~]$"), ch).otherwise(F.coalesce(F.try_element_at(names, ch), code))
+
+    odd = quoted.rlike("[^ -~]")
+    slow = F.array_join(F.transform(F.regexp_extract_all(quoted, F.lit(r"(?s)(.)"), 1), escaped), "")
+    return F.concat(F.lit('"'), F.when(odd, slow).otherwise(quoted), F.lit('"'))
 
 
 def compute_call_text(smiles: Column, prop: Column) -> Column:

@@ -21,20 +21,25 @@ def fold(c: Column | str) -> Column:
     return F.regexp_replace(F.translate(_col(c), _WIDE, _PLAIN), _INVISIBLE, "")
 
 
+# Spellings that need no normalising, which most are, are told by one cheap pattern.
+_CLEAN_TERM = r"^[a-z0-9]++(?:[ _-][a-z0-9]++)*+$"
+_CLEAN_SMILES = r"^[!#-&(-;=?-_a-~]++$"
+
+
 def term(c: Column | str) -> Column:
     """The term a spelling stands for: lower case, plain width, single blanks for blanks, ``-`` and ``_``.
 
     Null stays null; a spelling with nothing visible in it is null too.
     """
     t = F.trim(F.regexp_replace(F.lower(fold(c)), r"[\s\p{Z}\x85_\-]+", " "))
-    return F.when(t != "", t)
+    return F.when(_col(c).rlike(_CLEAN_TERM), F.translate(_col(c), "_-", "  ")).otherwise(F.nullif(t, F.lit("")))
 
 
 def plain_smiles(c: Column | str) -> Column:
     """A SMILES without blanks, invisible characters, character width and enclosing quotes or angle brackets."""
     t = F.regexp_replace(fold(c), BLANK, "")
     t = F.regexp_replace(t, "^[\"'<`]+|[\"'>`]+$", "")
-    return F.when(t != "", t)
+    return F.when(_col(c).rlike(_CLEAN_SMILES), _col(c)).otherwise(F.nullif(t, F.lit("")))
 
 
 def no_blanks(c: Column | str) -> Column:

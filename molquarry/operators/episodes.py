@@ -72,7 +72,9 @@ def score_general(episodes: DataFrame, turns: DataFrame) -> DataFrame:
     """First format, any number of calls; ``kind`` 'no_tool' expects none.
 
     ``correct``: the answer covers every expected pair, for 'no_tool' there is
-    an answer and no call.
+    an answer and no call.  Where ``episodes`` has a column ``answer``, the
+    lower-cased answer of a 'no_tool' episode must also contain it (a null one
+    is contained in nothing).
     """
     plays = played(turns, parse_v1_call(F.col("text")), parse_final(F.col("text")))
     rows = _joined(episodes, plays)
@@ -80,7 +82,8 @@ def score_general(episodes: DataFrame, turns: DataFrame) -> DataFrame:
     has = F.size("expected") > 0
     valid = F.when(has, _called(F.col("calls"), F.col("expected"))).otherwise(none)
     answered = F.col("final").isNotNull()
-    right = F.when(F.col("kind") == "no_tool", answered & none).otherwise(answered & _covered(F.col("final"), F.col("expected")))
+    said = F.lower(strip(F.col("final"))).contains(F.col("answer")) if "answer" in episodes.columns else F.lit(True)
+    right = F.when(F.col("kind") == "no_tool", answered & none & said).otherwise(answered & _covered(F.col("final"), F.col("expected")))
     return rows.select(*episodes.columns, F.size("calls").alias("n_calls"), "final", F.coalesce(right, F.lit(False)).alias("correct"), valid.alias("tool_valid"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..runtime import draw, uniform
+from ..runtime import cut, draw, uniform, width
 
 COLUMNS = "split", "kind", "question", "smiles", "prop", "prop2", "name", "answer", "clarify_text"
 
@@ -117,17 +117,21 @@ def arithmetic_rows(molecules: DataFrame, seed: int) -> DataFrame:
 def name_splits(names: DataFrame) -> DataFrame:
     """``(name, split)``: distinct names in binary order, their position from 0 modulo three.
 
-    Positions are counted in two levels, over four-character prefixes and
-    inside each prefix, so that no task sorts all names.
+    Names are cut into ranges of about equal size; a position is the place in
+    the range and the number of names in earlier ranges, so no task sorts all
+    names, however many share a prefix.
     """
-    base = names.select("name").where("name is not null").distinct().withColumn("prefix", F.substring("name", 1, 4))
-    counts = base.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("prefix").orderBy("name")) - 1
+    spark = names.sparkSession
+    base = names.select("name").where("name is not null").distinct().repartitionByRange(width(spark), "name")
+    # Written once: the ranges are drawn from a sample and must be the same for counts and rows.
+    base = cut(base.withColumn("range", F.spark_partition_id()))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = base.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("name")) - 1
     k = (F.col("offset") + F.col("inside")) % 3
     split = F.when(k == 0, "train").when(k == 1, "val").otherwise("test")
-    return base.withColumn("inside", inside).join(offsets, "prefix").select("name", split.alias("split"))
+    # One row a range: broadcast is bounded by the number of tasks.
+    return base.withColumn("inside", inside).join(F.broadcast(offsets), "range").select("name", split.alias("split"))
 
 
 def chain_rows(names: DataFrame, molecules: DataFrame, seed: int, target: float = 1.0) -> DataFrame:

@@ -76,6 +76,7 @@ def composition(rows: DataFrame) -> DataFrame:
 
 def markdown(table: DataFrame, tag: str, head: str = "property") -> str:
     """The metric table as Markdown, ``_all`` first; one row per key reaches the driver."""
+    # The report's heading and columns.
     lines = [f"# Eval: {tag}", "", f"| {head} | n | accuracy | tool-valid |", "|---|---|---|---|"]
     for r in report_order(table).collect():
         lines.append(f"| {r['key']} | {r['n']} | {r['accuracy']:.3f} | {r['valid_rate']:.3f} |")

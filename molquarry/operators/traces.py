@@ -40,12 +40,12 @@ def _json_value(prop: Column, value: Column) -> Column:
 
 def compute_result(prop: Column, value: Column) -> Column:
     """Tool message of a property call; an error where there is no value."""
-    return message("tool", tool_result(value, _json_value(prop, value), "invalid molecule"))
+    return message("tool", tool_result(value, _json_value(prop, value), C.TOOL_ERRORS[C.COMPUTE_TOOL]))
 
 
 def name_result(smiles: Column) -> Column:
     """Tool message of a name look-up; an error where the name is unknown."""
-    return message("tool", tool_result(smiles, json_string(smiles), "unknown name"))
+    return message("tool", tool_result(smiles, json_string(smiles), C.TOOL_ERRORS[C.NAME_TOOL]))
 
 
 def v1_trace(question: Column, smiles: Column, prop: Column, value: Column) -> Column:
@@ -58,36 +58,41 @@ def v1_trace(question: Column, smiles: Column, prop: Column, value: Column) -> C
 
 
 def native_trace(
-    kind: Column, question: Column, smiles: Column, prop: Column, value: Column, prop2: Column, value2: Column, name: Column,
-    resolved: Column, answer: Column, clarify: Column, version: int = 3,
+    kind: Column, question: Column, steps: Column, name: Column, resolved: Column, answer: Column, clarify: Column, version: int = 3,
 ) -> Column:
-    """Messages of a row by kind: single and error 5, multi 7, chain 7 (version 3), no_tool and clarify 3.
+    """Messages of a row by kind: single and error 5, multi 3 and two a pair, chain 7 (version 3), no_tool and clarify 3.
 
-    An unknown kind is an error.
+    ``steps`` is ``array<struct<smiles, prop, value>>``: what is computed, one
+    pair or, for multi, all of them, each with its own SMILES.  An unknown kind
+    is an error.
     """
     start = prompt(question)
-    shown = F.coalesce(value, F.lit("None"))
-
-    def step(s: Column, p: Column, v: Column) -> Column:
-        return F.array(call_message(C.COMPUTE_TOOL, smiles=s, property=p), compute_result(p, v))
+    called = F.flatten(F.transform(steps, lambda e: F.array(
+        call_message(C.COMPUTE_TOOL, smiles=e["smiles"], property=e["prop"]), compute_result(e["prop"], e["value"]))))
+    shown = F.transform(steps, lambda e: F.coalesce(e["value"], F.lit("None")))
+    line = F.array_join(F.transform(steps, lambda e: F.concat(e["prop"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))), ", ")
 
     def say(c: Column | str) -> Column:
         return F.array(message("assistant", c))
 
-    both = F.concat(prop, F.lit(": "), shown, F.lit(", "), prop2, F.lit(": "), F.coalesce(value2, F.lit("None")))
     out = (
-        F.when(kind == "single", F.concat(start, step(smiles, prop, value), say(shown)))
-        .when(kind == "multi", F.concat(start, step(smiles, prop, value), step(smiles, prop2, value2), say(both)))
+        F.when(kind == "single", F.concat(start, called, say(F.get(shown, F.lit(0)))))
+        .when(kind == "multi", F.concat(start, called, say(line)))
         .when(kind == "no_tool", F.concat(start, say(answer)))
         .when(kind == "clarify", F.concat(start, say(clarify)))
-        .when(kind == "error", F.concat(start, step(smiles, prop, value), say(C.ERROR_TEXT)))
+        .when(kind == "error", F.concat(start, called, say(C.ERROR_TEXT)))
     )
     if version >= 3:
         look = F.array(call_message(C.NAME_TOOL, name=name), name_result(resolved))
-        out = out.when(kind == "chain", F.concat(start, look, step(resolved, prop, value), say(shown)))
+        out = out.when(kind == "chain", F.concat(start, look, called, say(F.get(shown, F.lit(0)))))
     return out.otherwise(F.raise_error(F.concat(F.lit("unknown kind: "), F.coalesce(kind, F.lit("null")))).cast(f"array<{MESSAGE}>"))
 
 
+def steps_of(*pairs: tuple[Column, Column, Column]) -> Column:
+    """``array<struct<smiles, prop, value>>`` from columns."""
+    return F.array(*[F.struct(s.alias("smiles"), p.alias("prop"), v.alias("value")) for s, p, v in pairs])
+
+
 def grpo_prompts(rows: DataFrame, kinds: tuple[str, ...] = ("chain", "single"), system: str = C.SYSTEM_PROMPT) -> DataFrame:
     """``(prompt, kind, smiles, prop, name)`` of single and resolvable chain rows.
 

@@ -4,69 +4,121 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..chem.props import properties
 from ..functions.features import features_of, rendered
 from ..functions.molecules import molecules_of
-from ..functions.protocol import parse_native_call, strip, tokens
+from ..functions.protocol import NATIVE_CALL, json_string, parse_native_call, strip, tokens
 from ..operators import episodes as E
 from ..operators import names as J
 from ..operators import traces as T
-from ..runtime import width
+from ..operators.metrics import head
+from ..runtime import cut, python_map, ship, width
+from ..sources.readers import read_rows
 
-_CALL = re.compile(r"<tool_call>\s*(\{.*?\})\s*</tool_call>", re.S)
+class Toolbox:
+    """The tools a model may call: those declared in the catalogue, each with a function over its arguments.
 
+    Reading a call, answering it and writing both into a conversation all go by
+    the declaration, as the column parser does.
+    """
 
-def read_call(turn: str) -> dict | None:
-    """A native call of a turn as a dict ``tool, smiles, prop, name``; the Python twin of the column parser."""
-    found = _CALL.search(turn)
-    if not found:
-        return None
+    def __init__(self, resolve: Callable[[str], str | None], version: int = 3):
+        self.wants = C.tools(version)
+        self.functions = {C.COMPUTE_TOOL: lambda smiles, property: properties(smiles).get(property), C.NAME_TOOL: lambda name: resolve(name)}
+
+    def read(self, turn: str) -> tuple[str, dict[str, str]] | None:
+        """Tool and arguments of the first call in a turn; None where there is none that can be run."""
+        found = re.search(NATIVE_CALL, turn)
+        doc = _json_object(found[1]) if found else None
+        tool = doc.get("name") if doc else None
+        wants = self.wants.get(tool) if isinstance(tool, str) else None
+        if wants is None or not isinstance(doc.get("arguments"), dict):
+            return None
+        values = {}
+        for key, allowed in wants.items():
+            if key not in doc["arguments"]:
+                return None
+            text = str(doc["arguments"][key])
+            values[key] = text if allowed is None else next((a for a in allowed if a == text.strip().lower()), None)
+        return None if None in values.values() else (tool, values)
+
+    def run(self, tool: str, arguments: dict[str, str]) -> str:
+        """What a tool says: a JSON object with its result or its error.  An unknown tool or property is a ValueError."""
+        if tool not in self.wants:
+            raise ValueError(f"unknown tool: {tool}")
+        for key, allowed in self.wants[tool].items():
+            if allowed is not None and arguments[key] not in allowed:
+                raise ValueError(f"unknown {key}: {arguments[key]}")
+        value = self.functions[tool](**arguments)
+        return json.dumps({"error": C.TOOL_ERRORS[tool]} if value is None else {"result": value})
+
+
+def _json_object(text: str) -> dict | None:
     try:
-        call = json.loads(found[1])
-    except ValueError:
-        return None
-    args = call.get("arguments") if isinstance(call, dict) else None
-    if not isinstance(args, dict):
+        doc = json.loads(text)
+    except (ValueError, RecursionError):
         return None
-    if call.get("name") == C.COMPUTE_TOOL and "smiles" in args:
-        prop = str(args.get("property", "")).strip().lower()
-        return {"tool": C.COMPUTE_TOOL, "smiles": str(args["smiles"]), "prop": prop, "name": None} if prop in C.ALL_PROPERTIES else None
-    if call.get("name") == C.NAME_TOOL and "name" in args:
-        return {"tool": C.NAME_TOOL, "smiles": None, "prop": None, "name": str(args["name"])}
-    return None
+    return doc if isinstance(doc, dict) else None
+
+
+def register_tools(spark: SparkSession, names: dict[str, str] | None = None, version: int = 3) -> list[str]:
+    """Register the tools as SQL functions over their arguments, returning JSON texts; gives their names.
+
+    A property that is not in the catalogue raises, as calls come with the
+    catalogue's own spelling here.  ``names`` is the dictionary of the name
+    tool; it travels with the function, so pass a bounded one.
+    """
+    ship(spark)
+    table = {k.strip().lower(): v for k, v in (names or {}).items()}
+    box = Toolbox(lambda n: table.get(n.strip().lower()), version)
+    for tool, wants in box.wants.items():
+        keys = list(wants)
+
+        def rows(columns: Sequence[pd.Series], tool: str = tool, keys: list[str] = keys) -> pd.Series:
+            return pd.Series([None if None in args else box.run(tool, dict(zip(keys, args))) for args in zip(*columns)], dtype=object)
+
+        if len(keys) == 1:
+            spark.udf.register(tool, F.pandas_udf(lambda a, rows=rows: rows([a]), "string"))
+        else:
+            spark.udf.register(tool, F.pandas_udf(lambda a, b, rows=rows: rows([a, b]), "string"))
+    return list(box.wants)
+
 
+def tool_schemas(version: int = 3) -> list[dict]:
+    """The tools' declarations as JSON schemas for a chat template."""
 
-def answer_call(call: dict, resolve: Callable[[str], str | None]) -> dict:
-    """What a tool says to a call: ``{"result": value}`` or ``{"error": message}``."""
-    if call["tool"] == C.COMPUTE_TOOL:
-        value = properties(call["smiles"]).get(call["prop"])
-        return {"error": "invalid molecule"} if value is None else {"result": value}
-    if call["tool"] == C.NAME_TOOL:
-        found = resolve(call["name"])
-        return {"error": "unknown name"} if found is None else {"result": found}
-    raise ValueError(f"unknown tool: {call['tool']}")
+    def kind(allowed: tuple[str, ...] | None) -> dict:
+        return {"type": "string"} | ({"enum": list(allowed)} if allowed else {})
+
+    return [
+        {"type": "function", "function": {"name": tool, "description": C.TOOL_TEXTS[tool], "parameters": {
+            "type": "object", "properties": {k: kind(a) for k, a in wants.items()}, "required": list(wants)}}}
+        for tool, wants in C.tools(version).items()
+    ]
 
 
 def converse(messages: list[dict], generate: Callable[[list[dict]], str], resolve: Callable[[str], str | None], most: int = C.MAX_TURNS) -> list[str]:
     """One question played to its end: the model's turns; ``messages`` is extended with them and the tools' answers."""
-    said = []
-    for _ in range(most):
-        turn = generate(messages)
-        said.append(turn)
-        call = read_call(turn)
+    box = Toolbox(resolve)
+    said: list[str] = []
+    while len(said) < most:
+        said.append(generate(messages))
+        call = box.read(said[-1])
         if call is None:
-            messages.append({"role": "assistant", "content": turn})
-            break
-        arguments = {"name": call["name"]} if call["tool"] == C.NAME_TOOL else {"smiles": call["smiles"], "property": call["prop"]}
-        messages.append({"role": "assistant", "tool_calls": [{"function": {"name": call["tool"], "arguments": arguments}}]})
-        messages.append({"role": "tool", "content": json.dumps(answer_call(call, resolve))})
+            messages.append({"role": "assistant", "content": said[-1]})
+            return said
+        tool, arguments = call
+        messages += [
+            {"role": "assistant", "tool_calls": [{"function": {"name": tool, "arguments": arguments}}]},
+            {"role": "tool", "content": box.run(tool, arguments)},
+        ]
     return said
 
 
@@ -92,7 +144,7 @@ def transcripts(
 
     kind = questions.schema["episode"].dataType.simpleString()
     rows = questions.select("episode", "question").repartition(width(questions.sparkSession), F.xxhash64("episode"))
-    return rows.mapInPandas(run, f"episode {kind}, turn int, text string")
+    return python_map(rows, run, f"episode {kind}, turn int, text string")
 
 
 def values_of(pairs: DataFrame) -> DataFrame:
@@ -107,15 +159,13 @@ def scoring_args(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     ``rows`` has ``episode, kind, smiles, prop, pairs, name``.  Each distinct
     molecule is computed once; a pair without a value has a null truth, which
-    nothing matches.
+    nothing matches.  A property that is not in the catalogue is an error.
     """
     pairs = J.resolve(rows, dictionary).select("episode", F.posexplode(E.expected_pairs()).alias("i", "e"))
     pairs = pairs.select("episode", "i", "e.smiles", "e.prop")
-    types = F.create_map(*[x for p, t, _ in C.PROPERTIES for x in (F.lit(p), F.lit(t))])
-    tols = F.create_map(*[x for p, _, t in C.PROPERTIES if t is not None for x in (F.lit(p), F.lit(t))])
+    meta = C.metadata(F.col("prop"))
     truth = pairs.join(values_of(pairs), ["smiles", "prop"], "left").select(
-        "episode",
-        F.struct("i", "smiles", "prop", types[F.col("prop")].alias("vtype"), tols[F.col("prop")].alias("tol"), F.col("value").alias("truth")).alias("e"),
+        "episode", F.struct("i", "smiles", "prop", meta["vtype"].alias("vtype"), meta["tol"].alias("tol"), F.col("value").alias("truth")).alias("e")
     )
     packed = truth.groupBy("episode").agg(F.sort_array(F.collect_list("e")).alias("es"))
     bare = F.transform("es", lambda e: F.struct(*[e[k].alias(k) for k in ("smiles", "prop", "vtype", "tol", "truth")]))
@@ -137,30 +187,44 @@ def canonical_words(episodes: DataFrame, turns: DataFrame) -> DataFrame:
 
 def evaluate(rows: DataFrame, turns: DataFrame, dictionary: DataFrame, version: int = 3) -> DataFrame:
     """Results ``(episode, kind, name, n_calls, final, correct, tool_valid)`` of transcripts of question rows."""
-    episodes = scoring_args(rows, dictionary)
+    # Written once: scoring and the canonical words both read it, and behind it lies the kernel.
+    episodes = cut(scoring_args(rows, dictionary))
     scored = E.score_by_kind(episodes, turns, version, canonical_words(episodes, turns))
     return scored.drop("expected")
 
 
-def gold_turns(rows: DataFrame, dictionary: DataFrame, version: int = 3) -> DataFrame:
-    """The turns of the gold traces of question rows, ``(episode, turn, text)``, as a model would write them."""
+def traces(rows: DataFrame, dictionary: DataFrame, version: int = 3) -> DataFrame:
+    """``(episode, kind, messages)``: the gold traces of question rows ``(episode, kind, question, smiles, prop, pairs, name, answer, clarify_text)``."""
     rows = J.resolve(rows, dictionary)
-    one, two = F.get("pairs", F.lit(0)), F.get("pairs", F.lit(1))
-    multi, chain = F.col("kind") == "multi", F.col("kind") == "chain"
-    base = rows.select(
-        "episode", "kind", "question", "name", "answer", "clarify_text", "resolved",
-        F.when(multi, one["smiles"]).when(chain, F.col("resolved")).otherwise(F.col("smiles")).alias("s1"), F.when(multi, one["prop"]).otherwise(F.col("prop")).alias("p1"),
-        F.when(multi, two["prop"]).alias("p2"),
-    )
-    pairs = base.select(F.col("s1").alias("smiles"), F.col("p1").alias("prop")).union(base.select("s1", "p2")).where("smiles is not null and prop is not null")
-    values = values_of(pairs)
-    for i in (1, 2):
-        v = values.select(F.col("smiles").alias("s1"), F.col("prop").alias(f"p{i}"), F.col("value").alias(f"v{i}"))
-        base = base.join(v, ["s1", f"p{i}"], "left")
+    asked = F.when(F.col("kind") == "error", F.array(F.struct("smiles", "prop"))).otherwise(E.expected_pairs())
+    pairs = rows.select("episode", F.posexplode(asked).alias("i", "e")).select("episode", "i", "e.smiles", "e.prop")
+    valued = pairs.join(values_of(pairs.where("smiles is not null and prop is not null")), ["smiles", "prop"], "left")
+    steps = valued.groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("i", "smiles", "prop", "value"))).alias("steps"))
+    bare = F.transform("steps", lambda e: F.struct(e["smiles"].alias("smiles"), e["prop"].alias("prop"), e["value"].alias("value")))
+    base = rows.join(steps.select("episode", bare.alias("steps")), "episode", "left")
     c = F.col
-    messages = T.native_trace(c("kind"), c("question"), c("s1"), c("p1"), c("v1"), c("p2"), c("v2"), c("name"), c("resolved"), c("answer"), c("clarify_text"), version)
-    own = F.filter(messages, lambda m: m["role"] == "assistant")
+    messages = T.native_trace(c("kind"), c("question"), c("steps"), c("name"), c("resolved"), c("answer"), c("clarify_text"), version)
+    return base.select("episode", "kind", messages.alias("messages"))
+
+
+def load_traces(spark: SparkSession, path: str, dictionary: DataFrame, version: int = 3, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """JSON-lines question rows as a trainer's table ``(messages, tools)`` in file order, and the number of rows by kind.
+
+    ``tools`` is the JSON text of the tool declarations.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    # Written once: the trace and the counts must see the same numbers of lines.
+    rows = cut(head(read_rows(spark, path).withColumn("episode", place), "episode", limit))
+    table = traces(rows, dictionary, version).orderBy("episode")
+    tools = F.lit(json.dumps(tool_schemas(version)))
+    return table.select("messages", tools.alias("tools")), rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gold_turns(rows: DataFrame, dictionary: DataFrame, version: int = 3) -> DataFrame:
+    """The turns of the gold traces of question rows, ``(episode, turn, text)``, as a model would write them."""
+    own = F.filter("messages", lambda m: m["role"] == "assistant")
     call = lambda m: m["tool_calls"][0]
+    written = lambda m: F.array_join(F.transform(F.map_entries(call(m)["arguments"]), lambda a: F.concat(json_string(a["key"]), F.lit(": "), json_string(a["value"]))), ", ")
     text = F.transform(own, lambda m: F.when(m["content"].isNotNull(), m["content"]).otherwise(
-        F.concat(F.lit('<tool_call>{"name": "'), call(m)["name"], F.lit('", "arguments": '), F.to_json(call(m)["arguments"]), F.lit("}</tool_call>"))))
-    return base.select("episode", F.posexplode(text).alias("turn", "text"))
+        F.concat(F.lit('<tool_call>{"name": "'), call(m)["name"], F.lit('", "arguments": {'), written(m), F.lit("}}</tool_call>"))))
+    return traces(rows, dictionary, version).select("episode", F.posexplode(text).alias("turn", "text"))

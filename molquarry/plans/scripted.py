@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..functions.features import features_of, rendered
 from ..functions.protocol import compute_call_text, v1_call_text
-from ..runtime import draw
+from ..runtime import cut, draw
 
 SEED = 3
 PROPS_V1 = ("mw", "hbd", "ring_count", "validity")
@@ -29,17 +29,26 @@ def chain_molecules(part: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, smiles: str, prop: str, out: str) -> DataFrame:
     """Add the rendered value of each row's property; each distinct SMILES is computed once."""
-    table = features_of(rows.select(F.col(smiles).alias("spelling"))).select("spelling", F.struct("*").alias("features"))
-    table = table.select(F.col("spelling").alias("_spelling"), rendered().alias("_values"))
-    return rows.join(table, F.col(smiles) == F.col("_spelling"), "left").withColumn(out, F.col("_values")[F.col(prop)]).drop("_spelling", "_values")
+    return labelled_all(rows, (smiles, prop, out))
+
+
+def labelled_all(rows: DataFrame, *labels: tuple[str, str, str]) -> DataFrame:
+    """Add several rendered values ``(smiles, prop, out)``; the kernel runs once over all spellings and its table is written once."""
+    columns = list(dict.fromkeys(s for s, _, _ in labels))
+    spellings = rows.select(F.explode(F.array(*columns)).alias("spelling"))
+    table = features_of(spellings).select("spelling", F.struct("*").alias("features")).select("spelling", rendered().alias("values"))
+    if len(labels) > 1:
+        table = cut(table)
+    for c in columns:
+        rows = rows.join(table.select(F.col("spelling").alias(c), F.col("values").alias(f"_{c}")), c, "left")
+    return rows.withColumns({out: F.col(f"_{s}")[F.col(p)] for s, p, out in labels}).drop(*[f"_{c}" for c in columns])
 
 
 def _expected(*pairs: tuple[str, str, str]) -> F.Column:
     """``array<struct<smiles, prop, vtype, tol, truth>>`` from columns (smiles, prop, truth)."""
-    vtype = F.create_map(*[x for p, t, _ in C.PROPERTIES for x in (F.lit(p), F.lit(t))])
-    tol = F.create_map(*[x for p, _, t in C.PROPERTIES if t is not None for x in (F.lit(p), F.lit(t))])
+    meta = {p: C.metadata(F.col(p)) for _, p, _ in pairs}
     return F.array(*[
-        F.struct(F.col(s).alias("smiles"), F.col(p).alias("prop"), vtype[F.col(p)].alias("vtype"), F.try_element_at(tol, F.col(p)).alias("tol"), F.col(t).alias("truth"))
+        F.struct(F.col(s).alias("smiles"), F.col(p).alias("prop"), meta[p]["vtype"].alias("vtype"), meta[p]["tol"].alias("tol"), F.col(t).alias("truth"))
         for s, p, t in pairs
     ])
 
@@ -49,7 +58,8 @@ def one_call_episodes(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = chain_molecules(part).withColumn("prop", F.explode(F.array(*[F.lit(p) for p in PROPS_V1])))
     base = base.withColumn("episode", F.concat_ws("-", "key", "prop")).withColumn("act", draw(SEED, F.lit("agent"), "key", "prop") % 8)
     base = base.withColumn("called", F.when(F.col("act") == 4, F.concat("smiles", F.lit("C"))).otherwise(F.col("smiles")))
-    base = labelled(labelled(base, "smiles", "prop", "truth"), "called", "prop", "told")
+    # Written once: episodes and turns both hang off it.
+    base = cut(labelled_all(base, ("smiles", "prop", "truth"), ("called", "prop", "told")))
     spelled = F.when(F.col("act") == 7, F.concat(F.lit("  "), F.upper("prop"), F.lit(" "))).otherwise(F.col("prop"))
     first = F.when(F.col("act") == 5, F.lit("I am sure I know this one.")).otherwise(F.concat(F.lit("Let me see.\n"), v1_call_text(F.col("called"), spelled), F.lit(" done")))
     said = F.when(F.col("act") == 6, F.lit("12345")).otherwise(F.col("told"))
@@ -66,7 +76,8 @@ def kind_episodes(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = base.withColumn("kind", F.element_at(kinds, (F.col("key") % 6 + 1).cast("int"))).withColumn("act", draw(SEED, F.lit("kinds"), "key") % 6)
     base = base.withColumns({"episode": F.col("key"), "prop": F.lit("mw"), "prop2": F.lit("hbd"), "name": F.concat(F.lit("Chain "), "smiles")})
     base = base.withColumn("asked", F.when(F.col("kind") == "error", F.concat("smiles", F.lit("(("))).otherwise(F.col("smiles")))
-    base = labelled(labelled(base, "smiles", "prop", "truth"), "smiles", "prop2", "truth2")
+    # Written once: episodes and turns both hang off it.
+    base = cut(labelled_all(base, ("smiles", "prop", "truth"), ("smiles", "prop2", "truth2")))
     call = compute_call_text(F.col("asked"), F.col("prop"))
     call2 = compute_call_text(F.col("smiles"), F.col("prop2"))
     look = F.concat(F.lit(f'<tool_call>{{"name": "{C.NAME_TOOL}", "arguments": {{"name": "'), F.upper("name"), F.lit('  "}}</tool_call>'))
@@ -94,3 +105,28 @@ def kind_episodes(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         .otherwise(F.slice(single, 1, 0))
     )
     return base.select("episode", "kind", "name", expected.alias("expected")), turns
+
+
+def bench_episodes(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Episodes of the hard benchmark's three kinds in the first format, with the gold answer of those that need no tool."""
+    kinds = F.array(*[F.lit(k) for k in ("paraphrase", "multi", "no_tool")])
+    base = chain_molecules(part).join(part.select(F.col("p_partkey").alias("key"), F.lower("p_brand").alias("answer")), "key")
+    base = base.withColumn("kind", F.element_at(kinds, (F.col("key") % 3 + 1).cast("int"))).withColumn("act", draw(SEED, F.lit("bench"), "key") % 4)
+    base = base.withColumns({"episode": F.col("key"), "prop": F.lit("hbd"), "prop2": F.lit("ring_count")})
+    base = cut(labelled_all(base, ("smiles", "prop", "truth"), ("smiles", "prop2", "truth2")))
+    call, call2 = v1_call_text(F.col("smiles"), F.col("prop")), v1_call_text(F.col("smiles"), F.col("prop2"))
+    told = F.when(F.col("act") == 1, F.lit("77")).otherwise(F.col("truth"))
+    spoken = F.when(F.col("act") == 1, F.lit("I do not know")).otherwise(F.concat(F.lit("It is "), F.upper("answer"), F.lit(" of course")))
+    texts = (
+        F.when(F.col("act") == 2, F.array(F.lit("no marker here")))
+        .when(F.col("kind") == "no_tool", F.when(F.col("act") == 3, F.array(call, F.concat(F.lit("FINAL: "), spoken))).otherwise(F.array(F.concat(F.lit("FINAL: "), spoken))))
+        .when(F.col("kind") == "multi", F.array(call, call2, F.concat(F.lit("FINAL: hbd="), told, F.lit(", ring_count="), F.col("truth2"))))
+        .otherwise(F.array(call, F.concat(F.lit("FINAL: "), told)))
+    )
+    turns = base.select("episode", F.posexplode(texts).alias("turn", "text"))
+    single = _expected(("smiles", "prop", "truth"))
+    expected = (
+        F.when(F.col("kind") == "multi", _expected(("smiles", "prop", "truth"), ("smiles", "prop2", "truth2")))
+        .when(F.col("kind") == "paraphrase", single).otherwise(F.slice(single, 1, 0))
+    )
+    return base.select("episode", "kind", "answer", expected.alias("expected")), turns

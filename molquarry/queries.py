@@ -114,6 +114,29 @@ def episode_by_kind(spark, d):
     return E.score_by_kind(episodes, turns).select("episode", "kind", "n_calls", "correct", "tool_valid")
 
 
+_BENCH_RES = f"""WITH {_CHAIN}, ep AS (SELECT key, ['paraphrase', 'multi', 'no_tool'][1 + key % 3] AS kind, t, {S.draw(scripted.SEED, "'bench'", 'key')} % 4 AS act FROM mol),
+res AS (SELECT key AS episode, kind,
+  CASE WHEN act = 2 THEN 0 WHEN kind = 'multi' THEN 2 WHEN kind = 'paraphrase' THEN 1 WHEN act = 3 THEN 1 ELSE 0 END AS n_calls,
+  -- A wrong count of donors is covered by the count of rings where both are zero.
+  CASE WHEN act = 2 THEN false WHEN act = 1 THEN kind = 'multi' AND t = 0 WHEN kind = 'no_tool' THEN act <> 3 ELSE true END AS correct,
+  CASE WHEN kind = 'no_tool' THEN act <> 3 ELSE act <> 2 END AS tool_valid FROM ep)"""
+
+
+@query(_BENCH_RES + " SELECT episode, kind, n_calls, correct, tool_valid FROM res")
+def hard_benchmark_scores(spark, d):
+    episodes, turns = scripted.bench_episodes(read(spark, d, "part"))
+    return E.score_general(episodes, turns).select("episode", "kind", "n_calls", "correct", "tool_valid")
+
+
+_KINDS_V2 = _KINDS.replace("FROM ep)", "FROM ep WHERE kind <> 'chain')")
+
+
+@query(_KINDS_V2 + " SELECT episode, kind, n_calls, correct, tool_valid FROM res")
+def episode_by_kind_v2(spark, d):
+    episodes, turns = scripted.kind_episodes(read(spark, d, "part"))
+    return E.score_by_kind(episodes.where("kind <> 'chain'"), turns, 2).select("episode", "kind", "n_calls", "correct", "tool_valid")
+
+
 @query(_KINDS + _METRICS.format(k="kind"))
 def metrics_by_kind(spark, d):
     episodes, turns = scripted.kind_episodes(read(spark, d, "part"))
@@ -182,18 +205,21 @@ def parse_v1_calls(spark, d):
     return _v1_texts(spark, d).select("pos", call["smiles"].alias("smiles"), call["prop"].alias("prop"))
 
 
-_NATIVE_TEXT = f"""SELECT pos, CASE pos % 7
+_NATIVE_TEXT = f"""SELECT pos, CASE pos % 10
  WHEN 0 THEN 'ok <tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": "' || smiles || '", "property": "TPSA "}}}}</tool_call>'
  WHEN 1 THEN '<tool_call>' || chr(10) || '{{"name": "{C.NAME_TOOL}", "arguments": {{"name": "mol ' || pos || '"}}}}' || chr(10) || '</tool_call>'
  WHEN 2 THEN '<tool_call>{{"name": "other", "arguments": {{"smiles": "' || smiles || '"}}}}</tool_call>'
  WHEN 3 THEN '<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": "' || smiles || '", "property": "hue"}}}}</tool_call>'
  WHEN 4 THEN '<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": "' || smiles || '"}}</tool_call>'
  WHEN 5 THEN '<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": "none"}}</tool_call>'
+ WHEN 6 THEN '<tool_call>{{"name": "{C.NAME_TOOL}", "arguments": "{{\\"name\\": \\"x\\"}}"}}</tool_call>'
+ WHEN 7 THEN '<tool_call>{{"name": "{C.NAME_TOOL}", "arguments": {{"name": "mol ' || pos || '"}}}} {{}}</tool_call>'
+ WHEN 8 THEN '<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": null, "property": "mw"}}}}</tool_call>'
  ELSE 'The answer is 3.' END AS text FROM molecules"""
 
 
 def _native_texts(spark, d):
-    s, k = F.col("smiles"), F.col("pos") % 7
+    s, k = F.col("smiles"), F.col("pos") % 10
     head = f'<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": "'
     text = (
         F.when(k == 0, F.concat(F.lit("ok " + head), s, F.lit('", "property": "TPSA "}}</tool_call>')))
@@ -201,13 +227,17 @@ def _native_texts(spark, d):
         .when(k == 2, F.concat(F.lit('<tool_call>{"name": "other", "arguments": {"smiles": "'), s, F.lit('"}}</tool_call>')))
         .when(k == 3, F.concat(F.lit(head), s, F.lit('", "property": "hue"}}</tool_call>')))
         .when(k == 4, F.concat(F.lit(head), s, F.lit('"}</tool_call>')))
-        .when(k == 5, F.lit(f'<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": "none"}}</tool_call>')).otherwise(F.lit("The answer is 3."))
+        .when(k == 5, F.lit(f'<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": "none"}}</tool_call>'))
+        .when(k == 6, F.lit(f'<tool_call>{{"name": "{C.NAME_TOOL}", "arguments": "{{\\"name\\": \\"x\\"}}"}}</tool_call>'))
+        .when(k == 7, F.concat(F.lit(f'<tool_call>{{"name": "{C.NAME_TOOL}", "arguments": {{"name": "mol '), F.col("pos"), F.lit('"}} {}</tool_call>')))
+        .when(k == 8, F.lit(f'<tool_call>{{"name": "{C.COMPUTE_TOOL}", "arguments": {{"smiles": null, "property": "mw"}}}}</tool_call>'))
+        .otherwise(F.lit("The answer is 3."))
     )
     return read(spark, d, "molecules").select("pos", text.alias("text"))
 
 
 @query(f"""WITH t AS ({_NATIVE_TEXT}), c AS (SELECT pos, text, regexp_extract(text, '(?s)<tool_call>\\s*(\\{{.*?\\}})\\s*</tool_call>', 1) AS j FROM t),
- p AS (SELECT pos, text, json_extract_string(v, '$.name') AS tool, json_extract_string(v, '$.arguments.smiles') AS smiles,
+ p AS (SELECT pos, text, json_extract_string(v, '$.name') AS tool, CASE WHEN json_type(v, '$.arguments.smiles') = 'NULL' THEN 'None' ELSE json_extract_string(v, '$.arguments.smiles') END AS smiles,
   lower(trim(json_extract_string(v, '$.arguments.property'))) AS prop, json_extract_string(v, '$.arguments.name') AS name
   FROM (SELECT *, CASE WHEN json_valid(j) THEN j END AS v FROM c)),
  q AS (SELECT *, coalesce(tool = '{C.COMPUTE_TOOL}' AND smiles IS NOT NULL AND prop IN ({', '.join(S.lit(x) for x in C.ALL_PROPERTIES)}), false) AS a,
@@ -570,7 +600,7 @@ def _long(rows: DataFrame, key: str, messages) -> DataFrame:
 def _asked(spark, d):
     q = read(spark, d, "qa_v3").where(F.col("kind").isin("no_tool", "clarify")).dropDuplicates(["row_id"])
     null = F.lit(None).cast("string")
-    return q, T.native_trace(F.col("kind"), F.col("question"), null, null, null, null, null, null, null, F.col("answer"), F.col("clarify_text"))
+    return q, T.native_trace(F.col("kind"), F.col("question"), T.steps_of((null, null, null)), null, null, F.col("answer"), F.col("clarify_text"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT row_id, question, coalesce(answer, clarify_text) AS said FROM qa_v3 WHERE kind IN ('no_tool', 'clarify'))
@@ -586,44 +616,67 @@ def _labelled_parts(spark, d):
     rows = rows.withColumns({"prop": F.lit("mw"), "prop2": F.lit("validity"), "name": F.concat(F.lit("chain "), F.col("key").cast("string"))})
     rows = rows.withColumn("kind", F.element_at(F.array(F.lit("single"), F.lit("multi"), F.lit("chain"), F.lit("error")), (F.col("key") % 4 + 1).cast("int")))
     rows = rows.withColumn("smiles", F.when(F.col("kind") == "error", F.concat("smiles", F.lit("("))).otherwise(F.col("smiles")))
-    return scripted.labelled(scripted.labelled(rows, "smiles", "prop", "value"), "smiles", "prop2", "value2")
+    return scripted.labelled_all(rows, ("smiles", "prop", "value"), ("smiles", "prop2", "value2"))
+
+
+def _part_messages(version: int = 3):
+    c, null = F.col, F.lit(None).cast("string")
+    one, two = (c("smiles"), c("prop"), c("value")), (c("smiles"), c("prop2"), c("value2"))
+    steps = F.when(c("kind") == "multi", T.steps_of(one, two)).otherwise(T.steps_of(one))
+    return T.native_trace(c("kind"), c("name"), steps, c("name"), c("smiles"), null, null, version)
 
 
 _TRACE_MW = "(round(n * 12.011 + (2 * n + 2) * 1.008 + CASE t WHEN 1 THEN 15.999 WHEN 2 THEN 15.015 ELSE 0 END, 4))::DOUBLE::VARCHAR"
 
 
-@query(f"""WITH {_CHAIN}, r AS (SELECT key, n, t, smiles, ['single', 'multi', 'chain', 'error'][1 + key % 4] AS kind, {_TRACE_MW} AS mw FROM mol),
- m AS (SELECT key, kind, unnest(CASE kind
+_TOOL_TRACE = f"""WITH {_CHAIN}, r AS (SELECT key, n, t, smiles, ['single', 'multi', 'chain', 'error'][1 + key % 4] AS kind, {_TRACE_MW} AS mw FROM mol),
+ m AS (SELECT key, kind, unnest(['s', 'u'] || CASE kind
   WHEN 'single' THEN ['c', 'r:{{"result": ' || mw || '}}', 'a:' || mw]
   WHEN 'multi' THEN ['c', 'r:{{"result": ' || mw || '}}', 'c', 'r:{{"result": true}}', 'a:mw: ' || mw || ', validity: True']
   WHEN 'chain' THEN ['n', 'r:{{"result": "' || smiles || '"}}', 'c', 'r:{{"result": ' || mw || '}}', 'a:' || mw]
   ELSE ['c', 'r:{{"error": "invalid molecule"}}', 'a:' || {S.lit(C.ERROR_TEXT)}] END) AS x, generate_subscripts(CASE kind
-  WHEN 'multi' THEN [1, 2, 3, 4, 5] WHEN 'chain' THEN [1, 2, 3, 4, 5] ELSE [1, 2, 3] END, 1) AS k FROM r)
- SELECT key, (k + 1)::INT AS i, CASE left(x, 1) WHEN 'r' THEN 'tool' ELSE 'assistant' END AS role, CASE WHEN left(x, 2) IN ('r:', 'a:') THEN substr(x, 3) END AS content,
-  CASE x WHEN 'c' THEN '{C.COMPUTE_TOOL}' WHEN 'n' THEN '{C.NAME_TOOL}' END AS tool FROM m""")
+  WHEN 'multi' THEN [1, 2, 3, 4, 5, 6, 7] WHEN 'chain' THEN [1, 2, 3, 4, 5, 6, 7] ELSE [1, 2, 3, 4, 5] END, 1) AS k FROM r)
+ SELECT key, (k - 1)::INT AS i, CASE WHEN x = 's' THEN 'system' WHEN x = 'u' THEN 'user' WHEN left(x, 2) = 'r:' THEN 'tool' ELSE 'assistant' END AS role,
+  CASE WHEN x = 's' THEN {S.lit(C.SYSTEM_PROMPT)} WHEN x = 'u' THEN 'chain ' || key WHEN left(x, 2) IN ('r:', 'a:') THEN substr(x, 3) END AS content,
+  CASE x WHEN 'c' THEN '{C.COMPUTE_TOOL}' WHEN 'n' THEN '{C.NAME_TOOL}' END AS tool FROM m"""
+
+
+@query(_TOOL_TRACE)
 def trace_tool_messages(spark, d):
-    rows = _labelled_parts(spark, d)
-    c = F.col
+    return _long(_labelled_parts(spark, d), "key", _part_messages())
+
+
+@query(_TOOL_TRACE + " WHERE kind <> 'chain'")
+def trace_second_format(spark, d):
+    return _long(_labelled_parts(spark, d).where("kind <> 'chain'"), "key", _part_messages(2))
+
+
+_PAIRS_SQL = "SELECT row_id, generate_subscripts(pairs, 1) - 1 AS k, unnest(pairs) AS p FROM (SELECT DISTINCT ON (row_id) row_id, pairs FROM qa_v3 WHERE kind = 'multi' AND pairs IS NOT NULL)"
+
+
+@query(f"""WITH p AS ({_PAIRS_SQL}) SELECT row_id, (2 + 2 * k)::INT AS i, p.smiles AS smiles, p.prop AS prop FROM p""")
+def trace_multi_calls(spark, d):
+    """The calls of the gold traces of all multi records: one a pair, each with its own SMILES."""
+    rows = read(spark, d, "qa_v3").where("kind = 'multi' and pairs is not null").dropDuplicates(["row_id"])
     null = F.lit(None).cast("string")
-    messages = T.native_trace(c("kind"), c("name"), c("smiles"), c("prop"), c("value"), c("prop2"), c("value2"), c("name"), c("smiles"), null, null)
-    return _long(rows, "key", messages).where("i > 1")
+    steps = F.transform("pairs", lambda p: F.struct(p["smiles"].alias("smiles"), p["prop"].alias("prop"), null.alias("value")))
+    messages = T.native_trace(F.col("kind"), F.col("question"), steps, null, null, null, null)
+    flat = rows.select("row_id", F.posexplode(messages).alias("i", "m")).where("m.tool_calls is not null")
+    given = F.get("m.tool_calls", F.lit(0))["arguments"]
+    return flat.select("row_id", "i", given["smiles"].alias("smiles"), given["property"].alias("prop"))
 
 
 @query("""SELECT calls, count(*) AS n FROM (SELECT CASE key % 4 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS calls FROM (SELECT p_partkey AS key FROM part)) GROUP BY calls""")
 def trace_call_histogram(spark, d):
-    rows = _labelled_parts(spark, d)
-    c = F.col
-    null = F.lit(None).cast("string")
-    messages = T.native_trace(c("kind"), c("name"), c("smiles"), c("prop"), c("value"), c("prop2"), c("value2"), c("name"), c("smiles"), null, null)
-    return A.calls_histogram(rows.select(messages.alias("messages")))
+    return A.calls_histogram(_labelled_parts(spark, d).select(_part_messages().alias("messages")))
 
 
-@query(f"""WITH {_CHAIN} SELECT key, i, role, CASE i WHEN 2 THEN 'TOOL_CALL: {{"smiles": "' || smiles || '", "property": "mw"}}' WHEN 3 THEN 'TOOL_RESULT: ' || mw ELSE 'FINAL: ' || mw END AS content
- FROM (SELECT *, {_TRACE_MW} AS mw FROM mol), (VALUES (2, 'assistant'), (3, 'user'), (4, 'assistant')) v(i, role)""")
+@query(f"""WITH {_CHAIN} SELECT key, i, role, CASE i WHEN 0 THEN {S.lit(C.SYSTEM_PROMPT)} WHEN 1 THEN '?' WHEN 2 THEN 'TOOL_CALL: {{"smiles": "' || smiles || '", "property": "mw"}}' WHEN 3 THEN 'TOOL_RESULT: ' || mw ELSE 'FINAL: ' || mw END AS content
+ FROM (SELECT *, {_TRACE_MW} AS mw FROM mol), (VALUES (0, 'system'), (1, 'user'), (2, 'assistant'), (3, 'user'), (4, 'assistant')) v(i, role)""")
 def trace_first_format(spark, d):
     rows = scripted.labelled(scripted.chain_molecules(read(spark, d, "part")).withColumn("prop", F.lit("mw")), "smiles", "prop", "value")
     messages = T.v1_trace(F.lit("?"), F.col("smiles"), F.col("prop"), F.col("value"))
-    return _long(rows, "key", messages).where("i > 1").drop("tool")
+    return _long(rows, "key", messages).drop("tool")
 
 
 @query(f"""WITH q AS (SELECT DISTINCT row_id, kind, question, smiles, prop, name FROM qa_v3 WHERE kind IN ('single', 'chain'))
@@ -665,29 +718,27 @@ def grpo_reward(spark, d):
 # --- whole evaluation ---------------------------------------------------------------------------------------------------
 
 
-def _clean_rows(spark, d):
-    rows = read(spark, d, "qa_v3").where(F.col("kind").isin("single", "error", "multi", "chain", "no_tool", "clarify")).dropDuplicates(["row_id"])
-    rows = rows.where((~F.col("kind").isin("single", "error", "chain") | F.col("prop").isin(*C.ALL_PROPERTIES)) & ((F.col("kind") != "single") | F.col("smiles").isNotNull()))
-    return rows.withColumnRenamed("row_id", "episode")
-
-
-_UNSUPPORTED = "('qed', 'pains_alert')"
+def _question_rows(spark, d):
+    """All records of the six kinds, each once, with kinds and props as their terms; a multi record needs its pairs."""
+    snake = lambda c: F.replace(term(c), F.lit(" "), F.lit("_"))
+    rows = read(spark, d, "qa_v3").where("row_id is not null").dropDuplicates(["row_id"])
+    pairs = F.transform("pairs", lambda p: F.struct(p["smiles"].alias("smiles"), snake(p["prop"]).alias("prop")))
+    rows = rows.select(
+        F.col("row_id").alias("episode"), snake("kind").alias("kind"), "question", "smiles", snake("prop").alias("prop"), pairs.alias("pairs"), "name", "answer", "clarify_text"
+    )
+    listed = F.col("prop").isin(*C.ALL_PROPERTIES)
+    known = (
+        F.when(F.col("kind").isin("single", "error"), listed & F.col("smiles").isNotNull()).when(F.col("kind") == "chain", listed & F.col("name").isNotNull())
+        .when(F.col("kind") == "multi", F.forall("pairs", lambda p: p["smiles"].isNotNull() & p["prop"].isin(*C.ALL_PROPERTIES)))
+        .when(F.col("kind") == "no_tool", F.col("answer").isNotNull()).when(F.col("kind") == "clarify", F.col("clarify_text").isNotNull())
+    )
+    return rows.where(known)
 
 
-@query(f"""WITH q AS (SELECT DISTINCT ON (row_id) * FROM qa_v3 WHERE kind IN ('single', 'error', 'multi', 'chain', 'no_tool', 'clarify')),
- c AS (SELECT * FROM q WHERE (kind NOT IN ('single', 'error', 'chain') OR prop IN ({', '.join(S.lit(x) for x in C.ALL_PROPERTIES)})) AND (kind <> 'single' OR smiles IS NOT NULL)),
- m AS (SELECT smiles FROM molecules)
- SELECT row_id AS episode, kind, CASE kind WHEN 'single' THEN prop NOT IN {_UNSUPPORTED} WHEN 'chain' THEN prop NOT IN {_UNSUPPORTED} ELSE true END AS correct, true AS tool_valid
- FROM c WHERE (kind = 'single' AND smiles IN (FROM m)) OR (kind = 'chain' AND name IN (SELECT name FROM name_dict)) OR kind IN ('error', 'no_tool')""")
+@query()
 def evaluate_gold(spark, d):
-    rows = _clean_rows(spark, d)
+    """Scores of the gold transcripts of all records that name what they ask for, by the whole evaluation."""
+    rows = cut(_question_rows(spark, d))
     dictionary = read(spark, d, "name_dict")
-    clean = read(spark, d, "molecules").select("smiles")
-    named = dictionary.select("name")
-    known = (
-        rows.where("kind = 'single'").join(clean, "smiles", "left_semi").select(*rows.columns)
-        .unionByName(rows.where("kind = 'chain'").join(named, "name", "left_semi").select(*rows.columns))
-        .unionByName(rows.where("kind in ('error', 'no_tool')"))
-    )
-    results = evaluate.evaluate(known, evaluate.gold_turns(known, dictionary), dictionary)
+    results = evaluate.evaluate(rows, evaluate.gold_turns(rows, dictionary), dictionary)
     return results.select("episode", "kind", "correct", "tool_valid")

@@ -1,10 +1,13 @@
-"""Session helpers: reading tables, cutting lineage, degree of parallelism, hash randomness."""
+"""Session helpers: reading tables, cutting lineage, Python maps, joins with hot keys, degree of parallelism, hash randomness."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,15 +62,59 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and drop their lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where none is set (tests on one machine) a temporary one is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    none is named, a session on one machine (tests) takes a temporary one that
+    goes with the process; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="molquarry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="molquarry-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def python_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` on workers that know this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
+#: Keys with fewer rows than this are never hot.
+HOT_LEAST = 1 << 14
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", least: int | None = None) -> list:
+    """Keys of ``counts (key, n)`` that hold more than a quarter of a task's even share of all rows.
+
+    They are at most four a task, whatever the number of keys, so they may
+    reach the driver.  ``counts`` is read twice and should be written (``cut``).
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_LEAST if least is None else least, total // (4 * width(counts.sparkSession)))
+    return [r[0] for r in counts.where((F.col(n) > most) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list, by: Column | str, how: str = "inner") -> DataFrame:
+    """``rows.join(table, key)`` in which rows of ``hot`` keys are dealt over all tasks by a hash of ``by``.
+
+    ``table`` has one row a key; those of hot keys are repeated once a task.
+    """
+    if not hot:
+        return rows.join(table, key, how)
+    salts = width(rows.sparkSession)
+    is_hot = F.col(key).isin(hot)
+    by = F.col(by) if isinstance(by, str) else by
+    left = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    right = table.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0).cast("bigint")))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for stages whose cost is Python time and not bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

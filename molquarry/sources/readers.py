@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import markdown
 from ..operators.names import name_key
+from ..runtime import python_map
 
 #: Question rows on disk: one explicit wide schema for every kind.
 ROW_SCHEMA = (
@@ -124,7 +125,7 @@ def lookup_names(names: DataFrame, fetch: Callable[[str], str | None], pause: fl
                         time.sleep(pause)
             yield pd.DataFrame({"key": pdf["key"], "smiles": [memo[k] for k in pdf["key"]]}, dtype="object")
 
-    found = keys.mapInPandas(run, "key string, smiles string")
+    found = python_map(keys, run, "key string, smiles string")
     return names.join(found, name_key(F.col("name")) == F.col("key"), "left").select("name", "smiles")
 
 

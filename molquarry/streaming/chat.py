@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import catalog as C
 from ..functions.protocol import parse_native_call, strip
 from ..plans.evaluate import converse
+from ..runtime import ship
 
 
 def stream_calls(turns: DataFrame, event_time: str = "at", delay: str = "1 hour", window: str = "10 minutes") -> DataFrame:
@@ -63,6 +64,7 @@ def chat(
         yield pd.DataFrame(out, columns=["session", "question", "answer", "calls"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    ship(questions.sparkSession)
     return questions.groupBy("session").applyInPandasWithState(
         step, "session string, question string, answer string, calls int", "history string", "append", timeout
     )

@@ -5,13 +5,14 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from molquarry import catalog as C
 from molquarry.catalog import ALL_PROPERTIES, COMPUTE_TOOL, FALSE_WORDS, NAME_TOOL, TRUE_WORDS, V1_PROPERTIES
 from molquarry.functions import protocol as P
 from molquarry.functions import scoring
 from molquarry.functions.features import python_float
 from molquarry.functions.ranking import lowest, ranked
 from molquarry.functions.text import plain_smiles, term
-from molquarry.plans.evaluate import read_call
+from molquarry.plans.evaluate import Toolbox
 from molquarry.runtime import draw
 
 
@@ -60,10 +61,18 @@ def native(tool, **args):
 NATIVE = [
     native(COMPUTE_TOOL, smiles="C", property="QED "), native(NAME_TOOL, name="Acetone"), native("other", smiles="C"), native(COMPUTE_TOOL, smiles="C"),
     native(COMPUTE_TOOL, property="mw"), "<tool_call>{</tool_call>", "no", None, "a <tool_call>\n" + json.dumps({"name": NAME_TOOL, "arguments": {"name": "x", "more": {"y": 1}}}) + "\n</tool_call> b",
-    '<tool_call>{"name": "' + COMPUTE_TOOL + '", "arguments": [1]}</tool_call>', native(COMPUTE_TOOL, smiles="C", property="hue"),
+    '<tool_call>{"name": "' + COMPUTE_TOOL + '", "arguments": [1]}</tool_call>', '<tool_call>{"name": "' + NAME_TOOL + '", "arguments": "{\\"name\\": \\"x\\"}"}</tool_call>',
+    native(NAME_TOOL, name="x").replace("</", " {}</"), native(NAME_TOOL, name="x").replace("</", ", {}</"), native(NAME_TOOL, name="x").replace("</", "] [{}</"),
+    native(NAME_TOOL, name="x").replace("</", "} {}</"), native(NAME_TOOL, name=None), native(COMPUTE_TOOL, smiles=True, property="mw"), native(COMPUTE_TOOL, smiles=5, property="mw"),
+    native(NAME_TOOL, name="é\n\"q\""), native(COMPUTE_TOOL, smiles="C", property=None), "<tool_call>[{}]</tool_call>", native(COMPUTE_TOOL, smiles="C", property="hue"),
 ]
 
 
+def read_call(turn):
+    got = Toolbox(lambda n: None).read(turn)
+    return got and {"tool": got[0], "smiles": got[1].get("smiles"), "prop": got[1].get("property"), "name": got[1].get("name")}
+
+
 def test_native_calls(spark):
     got = column(spark, NATIVE, lambda c: P.parse_native_call(c, 3))
     assert [None if g is None else g.asDict() for g in got] == [read_call(t or "") for t in NATIVE]
@@ -73,6 +82,19 @@ def test_native_calls(spark):
     assert [bool(b) for b in broken] == ["<tool_call>" in (t or "") and read_call(t or "") is None for t in NATIVE]
 
 
+def test_json_strings(spark):
+    texts = ["plain", 'a"b\\c', "tab\t nl\n \r \b \f", "é ü 漢", "\U0001f600", "\x00\x1f\x7f", "", "/"]
+    assert column(spark, texts, P.json_string) == [json.dumps(t) for t in texts]
+
+
+def test_unknown_property_is_an_error(spark):
+    rows = spark.createDataFrame([("mw",), (None,)], "p string")
+    assert [r[0] and r[0].asDict() for r in rows.select(C.metadata(F.col("p"))).collect()] == [{"vtype": "float", "tol": 0.1}, None]
+    assert spark.range(1).select(C.metadata(F.lit("hue"), "null")).first()[0] is None
+    with pytest.raises(Exception, match="unknown property: hue"):
+        spark.range(1).select(C.metadata(F.lit("hue"))).collect()
+
+
 def test_finals_and_tokens(spark):
     texts = ["FINAL: 3", "FINAL:\n\n  4 g \nmore", "a FINAL: b c \n", "FINAL:", "none", "x\nFINAL: y=1,z:2", None]
     want = [(m[1].strip() if (m := re.search(r"FINAL:\s*(.+?)\s*$", t or "", re.S | re.M)) else None) for t in texts]

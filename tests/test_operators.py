@@ -81,7 +81,7 @@ def test_played_equals_the_loop(spark):
     for i, s in scripts.items():
         n, final = 0, None
         for t in s[: C.MAX_TURNS]:
-            if evaluate.read_call(t) is None:
+            if evaluate.Toolbox(str).read(t) is None:
                 final = t
                 break
             n += 1
@@ -155,8 +155,10 @@ def test_rewards(spark):
 
 
 def test_trace_lengths_and_unknown_kind(spark):
-    c = [F.lit(x) for x in ("q", "CCO", "mw", "46.069", "hbd", "1", "Ethanol", "CCO", "an", "cl")]
-    size = lambda k, v=3: len(spark.range(1).select(T.native_trace(F.lit(k), *c, version=v).alias("m")).first()["m"])
+    q, name, answer = F.lit("q"), F.lit("Ethanol"), F.lit("an")
+    one, two = [(F.lit("CCO"), F.lit(p), F.lit(v)) for p, v in (("mw", "46.069"), ("hbd", "1"))]
+    steps = lambda k: T.steps_of(one, two) if k == "multi" else T.steps_of(one)
+    size = lambda k, v=3: len(spark.range(1).select(T.native_trace(F.lit(k), q, steps(k), name, F.lit("CCO"), answer, answer, v).alias("m")).first()["m"])
     assert [size(k) for k in ("single", "multi", "chain", "error", "no_tool", "clarify")] == [5, 7, 7, 5, 3, 3]
     with pytest.raises(Exception, match="unknown kind"):
         size("chain", 2)
