@@ -22,6 +22,11 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(records, rows)
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = overlap.normalised(read(spark, d, "qa_v3"), read(spark, d, "name_dict"), read(spark, d, "controls"))
+    return overlap.overlap_classes(rows)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_counts(read(spark, d, "qa_v3")).where("mark is not null").select("field", "term")
 
@@ -90,7 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_report, p2_found, p2_counts, p3_found, p3_split, p4_found, p4_report, p4_sample,
+            p1_found, p1_report, p1_classes, p2_found, p2_counts, p3_found, p3_split, p4_found, p4_report, p4_sample,
             p5_found, p5_pack, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_measures,
         )
     }

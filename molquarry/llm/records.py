@@ -14,16 +14,22 @@ def pair_refs() -> Column:
 
 
 def question_spellings(question: Column | str = "question") -> Column:
-    """Words of a question that may be a SMILES: six characters or more, of its alphabet, not letters alone.
-
-    Sentence marks and quotes around a word do not belong to it.
+    """Words of a question that may be a SMILES; the kernel says which can be read.
+
+    Sentence marks and quotes around a word do not belong to it.  Any word of
+    the SMILES alphabet counts that holds a digit, a bond sign or a bracket, of
+    any length (``CC=O``); one of letters alone counts with two carbons or more
+    (``CCO``), which keeps out ordinary words that happen to be readable ("I",
+    "NO", "COIN").  A single atom in brackets is no molecule here, as option
+    marks (``[C]``) look alike.
     """
     words = F.split(fold(question), BLANK + "+")
     words = F.transform(words, lambda w: F.regexp_replace(w, "^[\"'<`,;]+|[\"'>`?!.,:;]+$", ""))
     return F.filter(
         words,
-        lambda w: (F.length(w) >= 6) & w.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$%:/\\.*]+$") & w.rlike(r"[()=#\[\]0-9]") & w.rlike("[A-Za-z]"),
-    )
+        lambda w: w.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$%:/\\.*]+$") & w.rlike("[A-Za-z]")
+        & (w.rlike(r"[()=#\[\]0-9]") & ~w.rlike(r"^\[[^\[\]]*\]$") | w.rlike("C.*C(?![a-z&&[^l]])")),
+    )
 
 
 def once(records: DataFrame, *columns: str) -> DataFrame:

@@ -61,6 +61,35 @@ def test_related_records(spark, tables):
     assert groups.related(df.where("false"), *tables).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, spelled",
+    [
+        ("What does CCO weigh?", "CCO"), ("Is CCCCCCCCO greasy", "CCCCCCCCO"), ("the mass of 'CC=O', please", "CC=O"), ("c1ccccc1C!", "Cc1ccccc1"), ("mw for C(N)O.", "OCN"),
+        ("weigh ClCCCl today", "C(Cl)CCl"), ("logP of C#N?", "N#C"),
+    ],
+)
+def test_molecules_written_in_questions(spark, tables, text, spelled):
+    df = spark.createDataFrame([(1, "clarify", text, None, None, None, 0), (2, "single", None, spelled, None, None, 0)], REC)
+    assert {r["row_id"] for r in groups.related(df, *tables).collect()} == {1, 2}
+
+
+def test_ordinary_words_are_no_molecules(spark, tables):
+    texts = ["can I have it", "I am ON it, NO?", "COIN B OF IN", "see [1] or [C] and [N]", "10 % of 5 mg (C)", "In CO and Co", "BOSON SPIN FOCUS", "sample C has no name"]
+    df = spark.createDataFrame([(i, "clarify", t, None, None, None, 0) for i, t in enumerate(texts * 2)], REC)
+    assert groups.related(df, *tables).count() == 0
+
+
+def test_hot_keys_are_dealt_out_and_lose_nothing(spark, tables, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, "chain", "q", None, None, " TOLU", 0) for i in range(60)]
+    rows += [(100 + i, "multi", "q", None, [("CCO", "mw"), ("C" * rng.randint(3, 30), "mw")], None, 0) for i in range(120)]
+    df = spark.createDataFrame(rows, REC)
+    want = {(r["row_id"], r["group_pos"]) for r in groups.related(df, *tables).collect()}
+    assert len(want) == 180
+    monkeypatch.setattr("molquarry.runtime.HOT_LEAST", 2)
+    assert {(r["row_id"], r["group_pos"]) for r in groups.related(df, *tables).collect()} == want
+
+
 def test_split_keeps_groups_and_shares(spark, small):
     split = {r["row_id"]: r["new_split"] for r in queries.p3_split(spark, small).collect()}
     total = Counter(split.values())
@@ -69,8 +98,8 @@ def test_split_keeps_groups_and_shares(spark, small):
     assert abs(total["train"] / n - 0.8) < 0.01 and abs(total["val"] / n - 0.1) < 0.01
     args = [spark.read.parquet(f"{small}/{t}.parquet") for t in ("qa_v3", "name_dict", "controls")]
     of = defaultdict(set)
-    for r in groups.references(*args).collect():
-        of[r["molecule"]].add(split[r["row_id"]])
+    for r in groups.references(*args)[0].collect():
+        of[r["node"]].add(split[r["row_id"]])
     assert all(len(s) == 1 for s in of.values())
 
 

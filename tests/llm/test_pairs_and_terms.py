@@ -156,22 +156,21 @@ def test_chunks_rebuild_the_text_and_resync():
     assert sum(len(c) * n for c, n in kept.items()) > 350
 
 
-def test_slips_against_full_distance():
-    def full(a, b):
-        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[len(a), len(b)]
+def test_slips_against_all_neighbours():
+    def near(t):
+        out = {t}
+        for i in range(len(t) + 1):
+            out |= {t[:i] + c + t[i:] for c in "abc"} | {t[:i] + c + t[i + 1 :] for c in "abc"} | {t[:i] + t[i + 1 :], t[:i] + t[i : i + 2][::-1] + t[i + 2 :]}
+        return out
 
     rng = random.Random(3)
     for _ in range(600):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 8)))
-        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 8)))
-        d = full(a, b)
-        assert overlap.slips(a, b) == (d if d <= 2 else None)
+        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) if rng.random() < 0.3 else rng.choice(sorted(near(rng.choice(sorted(near(a))))))
+        one, two = near(a), {z for y in near(a) for z in near(y)}
+        assert overlap.slips(a, b) == (0 if a == b else 1 if b in one else 2 if b in two else None), (a, b)
+    long = "".join(rng.choice("abc") for _ in range(50000))
+    assert overlap.slips(long, long[1:] + "x") == 2 and overlap.slips("a" + long, long[::-1] + "b") is None
 
 
 def test_report_counts(spark, dicts):
@@ -206,3 +205,37 @@ def test_term_counts_in_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {t: (sum(c.values()), len(c)) for t, c in want.items()}
+
+
+@pytest.mark.parametrize("low, high", [(8, 12), (13, 20), (21, 30), (31, 60), (61, 120)])
+def test_every_pair_within_two_slips_is_found_at_any_length(spark, dicts, low, high):
+    """One slip on each side of questions of some length; recall is one."""
+    rng = random.Random(low)
+
+    def slip(q):
+        i = rng.randrange(len(q) - 1)
+        return rng.choice((q[:i] + q[i + 1 :], q[:i] + rng.choice("abcxyz") + q[i:], q[:i] + rng.choice("abcxyz") + q[i + 1 :], q[:i] + q[i + 1] + q[i] + q[i + 2 :]))
+
+    rows = []
+    for n in range(150):
+        base = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(low, high) - 4))
+        rows += [{"kind": "clarify", "split": s, "question": f"{slip(base)} {n}"} for s in ("train", "val")]
+    got = pairs(qa(spark, *rows), dicts)
+    assert got >= {(i, i + 1) for i in range(0, len(rows), 2)}
+
+
+def test_classes_count_copies_and_links(spark, dicts):
+    ask = lambda q, s, n=1: [{"kind": "no_tool", "split": s, "question": q}] * n
+    df = qa(spark, *ask("add 1 and 22", "train", 3), *ask("add 1 and 22!", "val", 2), *ask("ad 1 and 22", "test"), *ask("take 1 from 22", "val"))
+    got = {r["row_id"]: (r["copies"], r["links"]) for r in overlap.overlap_classes(overlap.normalised(df, *dicts)).collect()}
+    assert got == {0: (2, 1), 1: (2, 1), 2: (2, 1), 3: (3, 0), 4: (3, 0), 5: (0, 1)}
+
+
+def test_grid_of_a_hot_digest_loses_nothing(spark, dicts, monkeypatch):
+    """Many classes with one template and no number meet in blocks."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    rows = [{"kind": "clarify", "split": s, "question": f"which molecule do you mean by {w}"} for w in words for s in ("train", "val")]
+    want = pairs(qa(spark, *rows), dicts)
+    monkeypatch.setattr(overlap, "GRID", 7)
+    assert pairs(qa(spark, *rows), dicts) == want >= {(i, i + 1) for i in range(0, len(rows), 2)}
