@@ -22,8 +22,8 @@ def fold(c: Column | str) -> Column:
 
 
 # Spellings that need no normalising, which most are, are told by one cheap pattern.
-_CLEAN_TERM = r"^[a-z0-9]++(?:[ _-][a-z0-9]++)*+$"
-_CLEAN_SMILES = r"^[!#-&(-;=?-_a-~]++$"
+_CLEAN_TERM = r"^[a-z0-9]++(?:[ _-][a-z0-9]++)*+\z"
+_CLEAN_SMILES = r"^[!#-&(-;=?-_a-~]++\z"
 
 
 def term(c: Column | str) -> Column:

@@ -89,14 +89,13 @@ HOT_LEAST = 1 << 14
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", least: int | None = None) -> list:
-    """Keys of ``counts (key, n)`` that hold more than a quarter of a task's even share of all rows.
+    """The keys of ``counts (key, n)`` with most rows, four a task at most and none below ``least`` rows.
 
-    They are at most four a task, whatever the number of keys, so they may
-    reach the driver.  ``counts`` is read twice and should be written (``cut``).
+    Their number does not grow with the data, so they may reach the driver; a
+    key beyond them holds a quarter of a task's even share at most.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    most = max(HOT_LEAST if least is None else least, total // (4 * width(counts.sparkSession)))
-    return [r[0] for r in counts.where((F.col(n) > most) & F.col(key).isNotNull()).select(key).collect()]
+    hot = counts.where((F.col(n) >= (HOT_LEAST if least is None else least)) & F.col(key).isNotNull())
+    return [r[0] for r in hot.orderBy(F.desc(n)).limit(4 * width(counts.sparkSession)).select(key).collect()]
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list, by: Column | str, how: str = "inner") -> DataFrame:

@@ -163,3 +163,9 @@ def test_exact_ranks_in_hot_groups(spark):
 
 def test_catalog():
     assert len(ALL_PROPERTIES) == 14 and len(V1_PROPERTIES) == 9
+
+
+def test_clean_spellings_end_where_the_text_ends(spark):
+    """The cheap patterns must not take a line break at the end for the end."""
+    assert column(spark, ["mw\n", "mw", "ring_count", "ring--count\r\n", "a-b c"], term) == ["mw", "mw", "ring count", "ring count", "a b c"]
+    assert column(spark, ["CCO\n", "CCO", "C C", "<CCO>"], plain_smiles) == ["CCO", "CCO", "CC", "CCO"]
