@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,9 @@ from .tokens import TOKENIZER, token_sizes
 
 #: Items expected in a block.
 BLOCK = 8192
-#: Branches looked at in a block beyond the first dive.
+#: Effort of the search in a block, beyond which the incumbent stands: branches taken back, and sizes looked at in enumerating fillings.
 NODES = 400
+STEPS = 1_000_000
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
@@ -84,61 +86,77 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` beside the largest item, fullest first, at most ``most``.
+def fillings(sizes: list[int], counts: dict[int, int], room: int, slack: int, effort: list[int] | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` leaving at most ``slack``, fullest first and then with the largest items first.
 
-    ``sizes`` is the ascending list of sizes left.  Each way is made of
-    descending sizes in which every last item is the largest that fits, so
-    that none can be exchanged for a larger single one; a way whose items fit
-    into one left-over item of greater size is dominated by that item.
+    ``sizes`` is the ascending list of sizes left and ``counts`` how many of
+    each; both must be as they were whenever the next way is asked for.  A way
+    is descending.  One of whose items several together are as large as a single
+    item left over is dominated by the way with that item, which is among the
+    ways of the same total.  ``effort`` counts the sizes that may still be looked
+    at; the enumeration ends with it.
     """
-    top = bisect_right(sizes, room)
-    if not top:
-        return [()]
-    single = sizes[top - 1]
-    found = {(single,): single}
-    if single == room:
-        return [(single,)]
-    tried = 0
-    for i in range(top - 1, -1, -1):
-        a = sizes[i]
-        rest = room - a
-        tried += 1
-        if tried > 48:
-            break
-        j = bisect_right(sizes, min(rest, a))
-        if j and sizes[j - 1] == a and counts[a] < 2:
-            j -= 1
-        if not j:
-            continue
-        steps = 0
-        while j and steps < 6:
-            steps += 1
-            b = sizes[j - 1]
-            left = rest - b
-            way = [a, b]
-            k = bisect_right(sizes, min(left, b))
-            while k:
-                c = sizes[k - 1]
-                if counts[c] > way.count(c):
-                    way.append(c)
-                    left -= c
-                    k = bisect_right(sizes, min(left, c))
+    effort = effort if effort is not None else [STEPS]
+    small = sizes[: bisect_right(sizes, room)]
+    if not small:
+        if room <= slack:
+            yield ()
+        return
+    # Bit t of reach[k] tells whether the k smallest sizes can make t, so that no search runs into a dead end.
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in small:
+        bits, n, k = reach[-1], min(counts[s], room // s), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << s * k & mask
+            n -= k
+            k *= 2
+        reach.append(bits)
+
+    def exactly(total: int, top: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Ways of one total from the ``top`` smallest sizes, beside those already taken."""
+        for k in range(top, 0, -1):
+            if not reach[k] >> total & 1:
+                return
+            effort[0] -= 1
+            if effort[0] < 0:
+                return
+            s = small[k - 1]
+            if s <= total and counts[s] > taken.count(s):
+                if s == total:
+                    yield (*taken, s)
                 else:
-                    k -= 1
-            found[tuple(way)] = room - left
-            if not left:
-                # No filling wastes less; larger items come first in the enumeration.
-                return [tuple(way), *sorted((w for w in found if w != tuple(way)), key=lambda w: -found[w])[: most - 1]]
-            j -= 1
-            if j and sizes[j - 1] == a and counts[a] < 2:
-                j -= 1
-    ways = [w for w, s in found.items() if len(w) == 1 or s > single]
-    return sorted(ways, key=lambda w: (-found[w], len(w)))[:most]
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Containers by bin completion branch and bound over a multiset of sizes, all at most ``capacity``."""
+                    yield from exactly(total - s, min(k, bisect_right(small, total - s)), (*taken, s))
+
+    if not room:
+        yield ()
+        return
+    for total in range(room, max(0, room - slack) - 1, -1):
+        if not total:
+            yield ()
+        elif reach[-1] >> total & 1:
+            for way in exactly(total, bisect_right(small, total), ()):
+                if len(way) < 2 or not _dominated(way, counts):
+                    yield way
+
+
+def _dominated(way: tuple[int, ...], counts: dict[int, int]) -> bool:
+    """Whether two items or more of a way are together as large as a single one left over."""
+    sums = {0: 0}  # sum -> most items in it, one or several
+    for s in way:
+        for total, n in list(sums.items()):
+            sums[total + s] = max(sums.get(total + s, 0), n + 1)
+    return any(n > 1 and counts.get(total, 0) > way.count(total) for total, n in sums.items())
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+    """Containers by bin completion branch and bound over a multiset of sizes, all at most ``capacity``.
+
+    The search ends when the lower bound is met, everything is searched, or
+    ``nodes`` branches have been taken back or ``steps`` sizes looked at; what
+    it has by then, best fit at worst, is returned.
+    """
     counts = {s: n for s, n in counts.items() if n}
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
@@ -160,47 +178,43 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             insort(sizes, s)
         left[s] += 1
 
-    levels: list[tuple[int, list[tuple[int, ...]], int]] = []  # largest, fillings, place of the one taken
+    levels: list[tuple[int, Iterator[tuple[int, ...]], tuple[int, ...] | None]] = []  # largest, fillings to come, the one taken
     waste = 0
     seen = 0
+    effort = [steps]
     forward = True
     while True:
         allowed = (len(best) - 1) * capacity - total
         if forward:
+            forward = False
             if not sizes:
-                best = [[big, *ways[at]] for big, ways, at in levels]
+                best = [[big, *way] for big, _, way in levels]
                 if len(best) <= bound:
                     return best
-                forward = False
                 continue
             big = sizes[-1]
             take(big)
-            ways = fillings(sizes, left, capacity - big, 4)
-            levels.append((big, ways, -1))
-            forward = False
+            levels.append((big, fillings(sizes, left, capacity - big, allowed - waste, effort), None))
         # Next filling of the last level.
         if not levels:
             return best
-        big, ways, at = levels.pop()
-        if at >= 0:
-            for s in ways[at]:
+        big, ways, way = levels.pop()
+        if way is not None:
+            seen += 1
+            for s in way:
                 give(s)
-            waste -= capacity - big - sum(ways[at])
-        at += 1
-        seen += at > 0
-        gap = capacity - big - sum(ways[at]) if at < len(ways) else None
-        if gap is None or waste + gap > allowed:
-            # Fillings come fullest first: the others waste as much at least.
+            waste -= capacity - big - sum(way)
+        if seen > nodes or effort[0] < 0:
+            return best
+        way = next(ways, None)
+        # Fillings come fullest first: after one that wastes too much all do.
+        if way is None or waste + capacity - big - sum(way) > allowed:
             give(big)
-            if seen > nodes:
-                return best
             continue
-        if seen > nodes:
-            return best
-        for s in ways[at]:
+        for s in way:
             take(s)
-        waste += gap
-        levels.append((big, ways, at))
+        waste += capacity - big - sum(way)
+        levels.append((big, ways, way))
         forward = True
 
 
