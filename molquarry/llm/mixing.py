@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, draw
+from ..runtime import cut, draw, ship
 from .tokens import TOKENIZER, token_sizes
 
 #: Inclusion probability rises with the size to this power.
@@ -67,47 +67,56 @@ def _scale(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sample_mix(documents: DataFrame, mixes: DataFrame, targets: DataFrame, seed: int = 23, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """``(mix_id, source, doc_id, copy, tokens, copies)`` of all documents taken, and the plan."""
-    sizes = cut(token_sizes(documents, "doc_id", "source", path=path).where("source is not null and tokens > 0"))
+    ship(documents.sparkSession)
+    sizes = token_sizes(documents, "doc_id", "source", path=path).where("source is not null and tokens > 0")
+    sizes = cut(sizes.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "tokens")) - 1))
     plan = cut(plan_mix(sizes, mixes, targets))
-    numbered = sizes.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "tokens")) - 1)
     histogram = sizes.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n"))
     scales = (
         plan.where("rest > 0").select("mix_id", "source", "rest").join(histogram, "source")
         .groupBy("mix_id", "source").applyInPandas(_scale, "mix_id int, source string, scale double")
     )
+    # One row a target of the given mixes: broadcast is bounded, and a source with a third of all documents is no single task.
     goals = plan.where("rest > 0").select("mix_id", "source", "rest").join(scales, ["mix_id", "source"])
     pi = F.least(F.lit(1.0), F.col("scale") * F.pow("tokens", F.lit(SIZE_POWER)))
     u = (draw(seed, "mix_id", "doc_id", "copy") + 0.5) / F.lit(4294967296.0)
     # Random odds over inclusion odds, mapped from [0, inf) to [0, 2^32); certain documents come first.
     ratio = F.when(pi >= 1.0, F.lit(0.0)).otherwise((u / (1 - u)) / (pi / (1 - pi)))
     key = F.least(F.floor(ratio / (1 + ratio) * F.lit(4294967296.0)), F.lit(4294967295)).cast("bigint")
-    drawn = numbered.join(goals, "source").withColumn("key", key).withColumn("bucket", F.shiftright("key", 22))
+    drawn = sizes.join(F.broadcast(cut(goals)), "source").withColumn("key", key).withColumn("bucket", F.shiftright("key", 22))
     drawn = drawn.select("mix_id", "source", "doc_id", "copy", "tokens", "rest", "key", "bucket")
-    by_bucket = drawn.groupBy("mix_id", "source", "bucket").agg(F.sum("tokens").alias("inside"))
+    by_bucket = drawn.groupBy("mix_id", "source", "rest", "bucket").agg(F.sum("tokens").alias("inside"))
     upto = Window.partitionBy("mix_id", "source").orderBy("bucket")
     by_bucket = by_bucket.withColumn("before", F.sum("inside").over(upto) - F.col("inside"))
-    placed = drawn.join(by_bucket, ["mix_id", "source", "bucket"]).where(F.col("before") < F.col("rest"))
+    # The bucket in which each target's head ends, again a row a target; what lies behind it leaves before any shuffle.
+    ends = by_bucket.where("before < rest").groupBy("mix_id", "source").agg(F.max_by(F.struct("bucket", "before", "inside"), "bucket").alias("end"))
+    placed = drawn.join(F.broadcast(cut(ends)), ["mix_id", "source"]).where(F.col("bucket") <= F.col("end.bucket"))
     columns = ["mix_id", "source", "doc_id", "copy"]
-    whole = placed.where(F.col("before") + F.col("inside") <= F.col("rest")).select(*columns)
-    order = Window.partitionBy("mix_id", "source", "bucket").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where(F.col("before") + F.col("inside") > F.col("rest"))
-    edge = edge.withColumn("sum", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    edge = edge.where(F.col("sum") + F.col("tokens") / 2 <= F.col("rest")).select(*columns)
+    ends_inside = (F.col("bucket") == F.col("end.bucket")) & (F.col("end.before") + F.col("end.inside") > F.col("rest"))
+    whole = placed.where(~ends_inside).select(*columns, "tokens")
+    order = Window.partitionBy("mix_id", "source").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.where(ends_inside).withColumn("sum", F.col("end.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    edge = edge.where(F.col("sum") + F.col("tokens") / 2 <= F.col("rest")).select(*columns, "tokens")
     extra = whole.unionByName(edge).withColumn("extra", F.lit(1))
-    copied = plan.where("copies > 0").select("mix_id", "source", "copies").join(numbered, "source")
-    copied = copied.select(*columns, F.col("copies").cast("int").alias("extra"))
-    taken = copied.unionByName(extra).groupBy(*columns).agg(F.sum("extra").cast("int").alias("copies"))
-    return taken.join(numbered.select("doc_id", "copy", "tokens"), ["doc_id", "copy"]).select(*columns, "tokens", "copies"), plan
+    certain = F.broadcast(plan.where("copies > 0").select("mix_id", "source", "copies"))
+    copied = sizes.join(certain, "source").select(*columns, "tokens", F.col("copies").cast("int").alias("extra"))
+    return copied.unionByName(extra).groupBy(*columns, "tokens").agg(F.sum("extra").cast("int").alias("copies")), plan
 
 
 def mix_report(taken: DataFrame, plan: DataFrame) -> DataFrame:
-    """Wanted and actual tokens and shares of each target, the most copies of a document, and whether it is unmet."""
+    """Wanted and actual tokens and shares of each target, the most copies of a document, and whether it is unmet.
+
+    ``unmet`` is read off the sample: it holds every document of the source as
+    often as allowed and its tokens are still fewer than wanted.
+    """
     sums = taken.groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("actual"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("documents")
     )
-    rows = plan.join(sums, ["mix_id", "source"], "left").fillna({"actual": 0, "most_copies": 0, "documents": 0})
+    rows = plan.drop("unmet").join(sums, ["mix_id", "source"], "left").fillna({"actual": 0, "most_copies": 0, "documents": 0})
+    used_up = F.col("actual") == F.col("pool") * F.col("max_repeat")
     mix = Window.partitionBy("mix_id")
     return rows.select(
-        "mix_id", "source", "weight", F.round("wanted").cast("bigint").alias("wanted"), "pool", "actual", "documents", "most_copies", "unmet",
+        "mix_id", "source", "weight", F.round("wanted").cast("bigint").alias("wanted"), "pool", "actual", "documents", "most_copies",
+        (used_up & (F.col("wanted") > F.col("actual"))).alias("unmet"),
         F.round(F.col("actual") / F.greatest(F.sum("actual").over(mix), F.lit(1)), 6).alias("actual_share"),
     )

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, width
+from ..runtime import cut, ship, width
 from .tokens import TOKENIZER, token_sizes
 
 #: Items expected in a block.
@@ -243,6 +243,7 @@ def pack_documents(documents: DataFrame, containers: DataFrame, path: str = TOKE
     of its own, ``slot`` null); ``piece`` counts from 0 and starts at token
     ``piece * capacity``.
     """
+    ship(documents.sparkSession)
     kinds = [
         (r["container_id"], r["capacity"])
         for r in containers.where("capacity > 0").select("container_id", "capacity").distinct().collect()

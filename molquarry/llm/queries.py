@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import groups, mixing, overlap, packing, quotas, stuffing, terms, tokens
+from . import groups, mixing, overlap, packing, quotas, stuffing, terms
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    return quotas.draw_sample(read(spark, d, "qa_v3"), p4_report(spark, d))
+    return quotas.draw_sample(*(read(spark, d, t) for t in ("qa_v3", "sample_plans", "sample_targets")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +70,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    sizes = tokens.token_sizes(read(spark, d, "documents"), "source")
-    plan = mixing.plan_mix(sizes, read(spark, d, "mixes"), read(spark, d, "mix_targets"))
-    return plan.where("unmet").select("mix_id", "source")
+    return p6_report(spark, d).where("unmet").select("mix_id", "source")
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -5,12 +5,22 @@ only the other is named).  Fractional quotas are share x sample rows, raised to
 ``min_rows`` and lowered to what there is; they are made whole by a maximum
 flow that keeps every cell and every row and column sum between the floor and
 the ceiling of its fractional value, and the total at its nearest whole number.
-Each cell then gives exactly its quota of records, those of the lowest random
-keys.
+
+Targets of one plan may overlap (a kind, a prop, both).  So the records of a
+plan are told apart by the kinds and props its targets name, each record in one
+*cell*; a target's quota is spread over its cells in proportion to what they
+hold, no cell giving more than it has, and made whole by a second rounding over
+targets by cells.  Each cell then gives exactly its sum of records, those of the
+lowest random keys, dealt out to its targets in their order: no record is drawn
+twice in a plan.
+
+A target is unmet if the records drawn for its category exhaust it and are
+still fewer than needed.
 
 Scale: one scan counts categories (partial aggregation first); the flow runs on
-the driver over the targets, whose number is the table of plans, not the data.
-The draw ranks only the one bucket of random keys in which a cell's quota ends.
+the driver over targets and cells, whose number is the table of plans, not the
+data.  The draw ranks only the one bucket of random keys in which a cell's
+quota ends, and the drawn records where targets share a cell.
 
 Defined results: a record belongs to the terms of its ``kind`` and ``prop``;
 nulls belong nowhere; deliveries count once; targets without kind and prop, or
@@ -23,10 +33,10 @@ from __future__ import annotations
 import math
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import lowest
+from ..functions.ranking import lowest, ranked
 from ..functions.text import term
 from ..runtime import cut, draw
 from .records import once
@@ -119,83 +129,148 @@ def controlled_rounding(cells: dict[tuple, float]) -> dict[tuple, int]:
 
 
 def quotas(targets: list[dict], sample_rows: int) -> None:
-    """Set ``quota`` and ``needed`` of a plan's targets, each with ``kind, prop, share, min_rows, available``."""
-    cells = {}
+    """Set ``needed``, ``quota`` and ``unmet`` of a plan's targets, each with ``kind, prop, share, min_rows, available``."""
+    cells: dict[tuple, float] = defaultdict(float)
+    least_of, have, needs = defaultdict(int), {}, defaultdict(int)
     for t in targets:
         share, least = t["share"] or 0.0, t["min_rows"] or 0
         t["needed"] = max(least, math.floor(share * sample_rows + 0.5))
         t["cell"] = (t["kind"] or "", t["prop"] or "")
-        cells[t["cell"]] = cells.get(t["cell"], 0.0) + share * sample_rows
-    # Minima and what there is bound a cell; what they add or take away is spread over the free cells in proportion.
-    fixed: dict[tuple, float] = {}
-    least_of, have = defaultdict(int), {}
-    for t in targets:
-        least_of[t["cell"]] += t["min_rows"] or 0
+        cells[t["cell"]] += share * sample_rows
+        least_of[t["cell"]] += least
+        needs[t["cell"]] = max(needs[t["cell"]], t["needed"])
         have[t["cell"]] = t["available"]
+    # Categories that cannot reach what they need are taken whole.  Minima and what there is bound the others; what that
+    # adds or takes away is spread over the free cells in proportion.
+    fixed = {c: float(have[c]) for c in cells if have[c] < needs[c]}
     while True:
         free = {c: v for c, v in cells.items() if c not in fixed}
         rest = max(0.0, sum(cells.values()) - sum(fixed.values()))
         weight = sum(free.values())
         scaled = {c: v * rest / weight if weight else 0.0 for c, v in free.items()}
-        out = {c: float(min(have[c], max(least_of[c], 0))) for c, v in scaled.items() if v < least_of[c]}
+        out = {c: float(min(have[c], least_of[c])) for c, v in scaled.items() if v < least_of[c]}
         out = out or {c: float(have[c]) for c, v in scaled.items() if v > have[c]}
         if not out:
             break
         fixed |= out
     whole = controlled_rounding(fixed | scaled) if cells else {}
-    for t in targets:
-        t["quota"] = min(whole[t["cell"]], have[t["cell"]])
+    for c, total in whole.items():
+        total = min(total, have[c])
+        own = [t for t in targets if t["cell"] == c]
+        # Targets of one category share what it gives, each as much as it asks for, the first ones the odd records.
+        asks = sum((t["share"] or 0.0) * sample_rows + (t["min_rows"] or 0) for t in own)
+        for i, t in enumerate(own):
+            ask = (t["share"] or 0.0) * sample_rows + (t["min_rows"] or 0)
+            t["quota"] = -int(-total * ask // asks) if asks and i < len(own) - 1 else total - sum(x["quota"] for x in own[:i])
+            t["quota"] = min(t["quota"], total - sum(x["quota"] for x in own[:i]))
+            t["unmet"] = total == have[c] and total < t["needed"]
+
+
+def spread_over_cells(targets: list[dict], holds: dict[tuple, int]) -> dict[tuple[int, tuple], int]:
+    """How many records each target draws of each cell ``(kind, prop)`` of its plan, no cell giving more than it holds.
+
+    Quotas are spread in proportion to what cells hold; what a full cell cannot
+    give is asked of the target's other cells.  Sets each target's ``quota`` to
+    what it gets.
+    """
+    of = {}
+    for i, t in enumerate(targets):
+        if t["kind"] is not None or t["prop"] is not None:
+            of[i] = [c for c, n in holds.items() if n and (t["kind"] is None or t["kind"] == c[0]) and (t["prop"] is None or t["prop"] == c[1])]
+    take: dict[tuple, float] = defaultdict(float)
+    room = {c: float(n) for c, n in holds.items()}
+    lacks = {i: float(targets[i]["quota"]) for i in of}
+    for _ in range(60):
+        asked: dict[tuple, float] = {}
+        for i, cells in of.items():
+            open_ = sum(room[c] for c in cells)
+            for c in cells if lacks[i] > 1e-9 and open_ > 1e-9 else ():
+                asked[i, c] = min(lacks[i], open_) * room[c] / open_
+        sums: dict[tuple, float] = defaultdict(float)
+        for (_, c), v in asked.items():
+            sums[c] += v
+        if not asked:
+            break
+        for (i, c), v in asked.items():
+            v *= min(1.0, room[c] / sums[c]) if sums[c] else 0.0
+            take[i, c] += v
+            lacks[i] -= v
+        for c, v in sums.items():
+            room[c] = max(0.0, room[c] - v)
+    whole = controlled_rounding({k: v for k, v in take.items() if v > 1e-9}) if take else {}
+    for i, t in enumerate(targets):
+        t["quota"] = sum(n for (j, _), n in whole.items() if j == i)
+    return {k: n for k, n in whole.items() if n}
+
+
+def _planned(records: DataFrame, plans: DataFrame, targets: DataFrame) -> tuple[list[dict], list[tuple], dict]:
+    """Targets with their quotas, what each draws of each cell, and the kinds and props each plan names."""
+    once_each = once(records.select("row_id", term("kind").alias("kind_term"), term("prop").alias("prop_term")), "kind_term", "prop_term")
+    goals = targets.join(plans, "plan_id").select(
+        "plan_id", "target_id", term("kind").alias("kind"), term("prop").alias("prop"), "share", "min_rows", "sample_rows"
+    )
+    # Targets are given by hand, so their number is bounded by the plans; only they and one sum a cell reach the driver.
+    by_plan: dict[int, list[dict]] = defaultdict(list)
+    for r in goals.orderBy("plan_id", "target_id").collect():
+        by_plan[r["plan_id"]].append(r.asDict())
+    named = {p: tuple(tuple(sorted({t[k] for t in ts if t[k] is not None})) for k in ("kind", "prop")) for p, ts in by_plan.items()}
+    counts = once_each.groupBy("kind_term", "prop_term").agg(F.count(F.lit(1)).alias("n"))
+    holds: dict[int, dict[tuple, int]] = defaultdict(dict)
+    if named:
+        cells = counts.withColumn("cell", F.explode(_cells(named))).groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in cells.collect():
+            holds[r["cell"]["plan_id"]][r["cell"]["kind"], r["cell"]["prop"]] = r["n"]
+    draws = []
+    for plan_id, own in by_plan.items():
+        for t in own:
+            fits = (n for (k, p), n in holds[plan_id].items() if (t["kind"] is None or k == t["kind"]) and (t["prop"] is None or p == t["prop"]))
+            t["available"] = sum(fits) if t["kind"] is not None or t["prop"] is not None else 0
+        quotas(own, own[0]["sample_rows"] or 0)
+        for (i, (kind, prop)), n in sorted(spread_over_cells(own, holds[plan_id]).items(), key=repr):
+            draws.append((plan_id, own[i]["target_id"], kind, prop, n))
+    return [t for own in by_plan.values() for t in own], draws, named
+
+
+def _cells(named: dict) -> Column:
+    """A record's cell in each plan: its kind and prop where the plan's targets name them."""
+    only = lambda c, terms: F.when(F.col(c).isin(*terms), F.col(c)) if terms else F.lit(None).cast("string")
+    return F.array(*[F.struct(F.lit(p).alias("plan_id"), only("kind_term", ks).alias("kind"), only("prop_term", ps).alias("prop")) for p, (ks, ps) in named.items()])
 
 
 def plan_report(records: DataFrame, plans: DataFrame, targets: DataFrame) -> DataFrame:
     """``(plan_id, target_id, kind_term, prop_term, available, needed, quota, unmet)`` of every target of every plan.
 
     ``needed`` is the greater of ``min_rows`` and share x sample_rows rounded to
-    a whole number; ``unmet`` where fewer records than that are available.
+    a whole number, ``quota`` what the sample draws; ``unmet`` where that takes
+    all there is of a category and is less than needed.
     """
-    spark = records.sparkSession
-    counts = (
-        once(records.select("row_id", term("kind").alias("kind_term"), term("prop").alias("prop_term")), "kind_term", "prop_term")
-        .groupBy("kind_term", "prop_term").agg(F.count(F.lit(1)).alias("n"))
-    )
-    goals = targets.join(plans, "plan_id").select(
-        "plan_id", "target_id", term("kind").alias("want_kind"), term("prop").alias("want_prop"), "share", "min_rows", "sample_rows"
-    )
-    # Targets are given by hand, so their number is bounded by the plans; only they and one sum each reach the driver.
-    on = (F.col("want_kind").isNull() | (F.col("want_kind") == F.col("kind_term"))) & (
-        F.col("want_prop").isNull() | (F.col("want_prop") == F.col("prop_term"))
-    )
-    on = on & (F.col("want_kind").isNotNull() | F.col("want_prop").isNotNull())
-    keys = ["plan_id", "target_id", "want_kind", "want_prop", "share", "min_rows", "sample_rows"]
-    rows = goals.join(counts, on, "left").groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("available")).collect()
-    by_plan: dict = defaultdict(list)
-    for r in rows:
-        by_plan[r["plan_id"]].append(r.asDict() | {"kind": r["want_kind"], "prop": r["want_prop"]})
-    out = []
-    for plan_id, of_plan in sorted(by_plan.items()):
-        quotas(of_plan, of_plan[0]["sample_rows"] or 0)
-        for t in of_plan:
-            out.append((plan_id, t["target_id"], t["kind"], t["prop"], t["available"], t["needed"], t["quota"], t["available"] < t["needed"]))
-    return spark.createDataFrame(
-        out, "plan_id int, target_id int, kind_term string, prop_term string, available bigint, needed bigint, quota bigint, unmet boolean"
+    columns = ("plan_id", "target_id", "kind", "prop", "available", "needed", "quota", "unmet")
+    return records.sparkSession.createDataFrame(
+        [tuple(t[c] for c in columns) for t in _planned(records, plans, targets)[0]],
+        "plan_id int, target_id int, kind_term string, prop_term string, available bigint, needed bigint, quota bigint, unmet boolean",
     )
 
 
-def draw_sample(records: DataFrame, report: DataFrame, seed: int = 11) -> DataFrame:
-    """``(plan_id, target_id, row_id)``: of each target exactly ``quota`` records, those of the lowest random keys."""
+def draw_sample(records: DataFrame, plans: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
+    """``(plan_id, target_id, row_id)``: of each target exactly ``quota`` records, none twice in a plan, those of the lowest random keys."""
+    spark = records.sparkSession
+    _, draws, named = _planned(records, plans, targets)
+    spans, used = [], defaultdict(int)
+    for plan_id, target_id, kind, prop, n in draws:
+        at = used[plan_id, kind, prop]
+        spans.append((plan_id, kind, prop, target_id, at, at + n))
+        used[plan_id, kind, prop] = at + n
+    # Made on the driver above, one row a target and cell: broadcast is bounded, and a hot category is no single task.
+    table = spark.createDataFrame(spans, "span_plan int, span_kind string, span_prop string, target_id int, low bigint, high bigint")
+    goals = spark.createDataFrame([(*k, n) for k, n in used.items()], "goal_plan int, goal_kind string, goal_prop string, quota bigint")
     base = once(records.select("row_id", term("kind").alias("kind_term"), term("prop").alias("prop_term")), "kind_term", "prop_term")
-    goals = report.where("quota > 0").select(
-        "plan_id", "target_id", F.col("kind_term").alias("want_kind"), F.col("prop_term").alias("want_prop"), "quota"
-    )
-    base = cut(base.where("kind_term is not null or prop_term is not null"))
-    cells = None
-    for on, where in (
-        ((F.col("want_kind") == F.col("kind_term")) & (F.col("want_prop") == F.col("prop_term")), "want_kind is not null and want_prop is not null"),
-        (F.col("want_kind") == F.col("kind_term"), "want_kind is not null and want_prop is null"),
-        (F.col("want_prop") == F.col("prop_term"), "want_kind is null and want_prop is not null"),
-    ):
-        # The report was made on the driver, a row per target: broadcast is bounded, and a hot category is no single task.
-        part = base.join(F.broadcast(goals.where(where)), on).select("plan_id", "target_id", "quota", "row_id")
-        cells = part if cells is None else cells.unionByName(part)
-    cells = cells.withColumn("key", draw(seed, "plan_id", "target_id", "row_id"))
-    return lowest(cells, ["plan_id", "target_id"], "key", "row_id", "quota").select("plan_id", "target_id", "row_id")
+    base = base.where("kind_term is not null or prop_term is not null")
+    cells = base.withColumn("cell", F.explode(_cells(named))) if named else base.withColumn("cell", F.lit(None).cast("struct<plan_id:int,kind:string,prop:string>"))
+    cells = cells.select("row_id", "cell.plan_id", "cell.kind", "cell.prop")
+    same = lambda side: (F.col("plan_id") == F.col(f"{side}_plan")) & F.col("kind").eqNullSafe(F.col(f"{side}_kind")) & F.col("prop").eqNullSafe(F.col(f"{side}_prop"))
+    # Written once: bucket counts and rows both come from it.
+    cells = cut(cells.join(F.broadcast(goals), same("goal")).select("row_id", "plan_id", "kind", "prop", "quota").withColumn("key", draw(seed, "plan_id", "row_id")))
+    keys = ["plan_id", "kind", "prop"]
+    drawn = lowest(cells, keys, "key", "row_id", "quota")
+    placed = ranked(drawn, keys, "key", "row_id").join(F.broadcast(table), same("span") & (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
+    return placed.select("plan_id", "target_id", "row_id")

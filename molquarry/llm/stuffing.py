@@ -44,6 +44,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import python_map
+
 # Function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     # English
@@ -373,9 +375,9 @@ def _pages(documents: DataFrame) -> DataFrame:
 
 def measure_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id, chars, clauseless, covered)`` of every page with visible text; characters without blanks."""
-    return _pages(documents).mapInPandas(_measure, "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
+    return python_map(_pages(documents), _measure, "doc_id bigint, chars bigint, clauseless bigint, covered bigint")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id)`` of the pages that consist of keywords, links, prices and tags for more than half."""
-    return _pages(documents).mapInPandas(_stuffed, "doc_id bigint")
+    return python_map(_pages(documents), _stuffed, "doc_id bigint")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term
-from ..runtime import width
+from ..runtime import python_map, width
 
 #: A term found in fewer records is too rare, in a greater share of all records too common.
 LEAST_RECORDS = 5
@@ -92,13 +92,13 @@ def term_counts(
     """``(field, term, occurrences, records, last_record, mark)``; ``mark`` is 'rare', 'common' or null."""
     spark = records.sparkSession
     salts = salts or max(SALTS, width(spark))
-    seen = (
+    ordered = (
         tokens(records).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
         .repartition(width(spark), "field", "term", "salt")
         .sortWithinPartitions("field", "term", "row_id", "place")
         .select("field", "term", "row_id", "place")
-        .mapInPandas(_count, "field string, term string, occurrences bigint, records bigint, last_record bigint")
     )
+    seen = python_map(ordered, _count, "field string, term string, occurrences bigint, records bigint, last_record bigint")
     sums = seen.groupBy("field", "term").agg(
         F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"), F.max("last_record").alias("last_record")
     )

@@ -152,14 +152,36 @@ def test_plans(spark, plan):
     got = {r["target_id"]: (r["available"], r["needed"], r["quota"], r["unmet"]) for r in report.collect()}
     assert got[1][0] == 60 and got[2] == (30, 40, 30, True) and got[3] == (50, 27, 30, False) and got[4] == (0, 3, 0, True)
     assert got[5][1] == 6 and got[6][1] == 5 and got[7][3] is True
-    sample = quotas.draw_sample(df, report).collect()
+    sample = quotas.draw_sample(df, plans, targets).collect()
     assert Counter(r["target_id"] for r in sample) == {t: q for t, (_, _, q, _) in got.items() if q}
-    assert len({(r["target_id"], r["row_id"]) for r in sample}) == len(sample)
-    assert quotas.draw_sample(df, report).exceptAll(quotas.draw_sample(df.repartition(7), report)).count() == 0
+    assert len({(r["plan_id"], r["row_id"]) for r in sample}) == len(sample)
+    term_of = {r["row_id"]: ((r["kind"] or "").lower().strip(), r["prop"].lower().strip()) for r in df.collect()}
+    wanted = {t[0]: t for t in targets.collect()}
+    for r in sample:
+        kind, prop = term_of[r["row_id"]]
+        assert wanted[r["target_id"]]["kind"] in (None, kind) and wanted[r["target_id"]]["prop"] in (None, prop)
+    assert quotas.draw_sample(df, plans, targets).exceptAll(quotas.draw_sample(df.repartition(7), plans, targets)).count() == 0
     empty = quotas.plan_report(df.where("false"), plans, targets)
     assert all(r["quota"] == 0 and r["unmet"] == (r["needed"] > 0) for r in empty.collect())
 
 
+def test_overlapping_targets_draw_no_record_twice(spark):
+    rows = [(i, "single" if i < 60 else "chain", "mw" if i % 2 else "logp") for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id bigint, kind string, prop string")
+    plans = spark.createDataFrame([(1, 90), (2, 40), (3, 100)], "plan_id int, sample_rows bigint")
+    targets = spark.createDataFrame(
+        [(1, 1, "single", None, 0.5, 0), (2, 1, None, "mw", 0.5, 0), (3, 2, "single", None, 0.5, 0), (4, 2, "Single", None, 0.5, 0), (5, 3, "single", None, 0.5, 0), (6, 3, None, "mw", 0.3, 0), (7, 3, "chain", "mw", 0.2, 0)],
+        "target_id int, plan_id int, kind string, prop string, share double, min_rows bigint",
+    )
+    report = {r["target_id"]: r for r in quotas.plan_report(df, plans, targets).collect()}
+    sample = quotas.draw_sample(df, plans, targets).collect()
+    assert len({(r["plan_id"], r["row_id"]) for r in sample}) == len(sample)
+    assert Counter(r["target_id"] for r in sample) == {t: r["quota"] for t, r in report.items() if r["quota"]}
+    # 80 records are single or mw, 30 of them both: all are drawn, and no more than there are.
+    assert sum(report[t]["quota"] for t in (1, 2)) == 80 and report[3]["quota"] == report[4]["quota"] == 20
+    assert not any(r["unmet"] for r in report.values())
+
+
 def test_found_against_brute_force(spark, small):
     records = [r.asDict() for r in spark.read.parquet(f"{small}/qa_v3.parquet").select("row_id", "kind", "prop").distinct().collect()]
     fold = lambda s: "".join(chr(ord(x) - 0xFEE0) if 0xFF01 <= ord(x) <= 0xFF5E else x for x in s if x not in "​﻿⁠‌‍")
