@@ -224,7 +224,7 @@ def gold_turns(rows: DataFrame, dictionary: DataFrame, version: int = 3) -> Data
     """The turns of the gold traces of question rows, ``(episode, turn, text)``, as a model would write them."""
     own = F.filter("messages", lambda m: m["role"] == "assistant")
     call = lambda m: m["tool_calls"][0]
-    written = lambda m: F.array_join(F.transform(F.map_entries(call(m)["arguments"]), lambda a: F.concat(json_string(a["key"]), F.lit(": "), json_string(a["value"]))), ", ")
+    written = lambda m: F.array_join(F.transform(F.map_entries(call(m)["arguments"]), lambda a: F.concat(json_string(a["key"]), F.lit(": "), F.coalesce(json_string(a["value"]), F.lit("null")))), ", ")
     text = F.transform(own, lambda m: F.when(m["content"].isNotNull(), m["content"]).otherwise(
         F.concat(F.lit('<tool_call>{"name": "'), call(m)["name"], F.lit('", "arguments": {'), written(m), F.lit("}}</tool_call>"))))
     return traces(rows, dictionary, version).select("episode", F.posexplode(text).alias("turn", "text"))

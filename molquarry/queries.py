@@ -20,7 +20,8 @@ from .operators import molecules as M
 from .operators import names as J
 from .operators import traces as T
 from .plans import evaluate, scripted
-from .runtime import cut, read
+from .runtime import cut, read, scratch
+from .sources.readers import read_dictionary, read_rows, scan, write_rows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -45,6 +46,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_SPLIT_TEXT = """sized AS (SELECT g, count(*) AS size, {h} AS k FROM {rows} GROUP BY g),
+ placed AS (SELECT g, coalesce(sum(size) OVER (ORDER BY k, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM sized),
+ named AS (SELECT g, CASE WHEN before < 0.8::DOUBLE * total THEN 'train' WHEN before < (0.8::DOUBLE + 0.1::DOUBLE) * total THEN 'val' ELSE 'test' END AS split FROM placed)"""
+
 # --- scripted agents over closed-form molecules ------------------------------------------------------------------------
 
 _CHAIN = """mol AS (SELECT p_partkey AS key, 1 + p_partkey % 9 AS n, p_size % 3 AS t,
@@ -170,6 +175,133 @@ def broken_molecules(spark, d):
     return rows.select("p_partkey", "smiles", F.col("features.validity").alias("validity"), M.accepted().alias("accepted"))
 
 
+# --- sources and sinks ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT smiles, count(*) AS n FROM molecules GROUP BY smiles")
+def scan_sources(spark, d):
+    """Molecules written as CSV, Parquet and JSON lines and read by the three registered sources, which agree."""
+    mols, folder = read(spark, d, "molecules").select("pos", "smiles"), scratch(spark)
+    mols.write.option("header", True).csv(f"{folder}/csv")
+    mols.write.parquet(f"{folder}/parquet")
+    mols.write.json(f"{folder}/json")
+    every = scan(spark, "csv", f"{folder}/csv").union(scan(spark, "parquet", f"{folder}/parquet")).union(scan(spark, "json", f"{folder}/json"))
+    return every.groupBy("smiles").agg(F.count(F.lit(1)).alias("times")).where("times % 3 = 0").select("smiles", (F.col("times") / 3).cast("bigint").alias("n"))
+
+
+@query("""SELECT split, kind, question, CASE WHEN kind <> 'multi' THEN smiles END AS smiles, CASE WHEN kind <> 'multi' THEN prop END AS prop, coalesce(len(pairs), 0)::INT AS n_pairs, name, answer, clarify_text
+ FROM qa_v3 WHERE kind IN ('single', 'error', 'multi', 'chain', 'no_tool', 'clarify')""")
+def rows_round_trip(spark, d):
+    """Question rows written as JSON lines by split and read again."""
+    rows, folder = read(spark, d, "qa_v3").where(F.col("kind").isin("single", "error", "multi", "chain", "no_tool", "clarify")), scratch(spark)
+    write_rows(rows.withColumn("pairs", F.transform("pairs", lambda p: F.array(p["smiles"], p["prop"]))), folder)
+    back = read_rows(spark, folder, "train").unionByName(read_rows(spark, folder, "val")).unionByName(read_rows(spark, folder, "test"))
+    n_pairs = F.coalesce(F.when(F.col("pairs").isNotNull(), F.size("pairs")), F.lit(0)).alias("n_pairs")
+    return back.select("split", "kind", "question", "smiles", "prop", n_pairs, "name", "answer", "clarify_text")
+
+
+@query("SELECT name, min(smiles) AS smiles FROM name_dict GROUP BY name")
+def dictionary_round_trip(spark, d):
+    """A dictionary with every name given twice, collapsed, written as one JSON object and read again."""
+    names, folder = read(spark, d, "name_dict").select("name", "smiles"), scratch(spark)
+    one = J.one_per_name(names.unionByName(names))
+    one.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "smiles")))).alias("value")).coalesce(1).write.text(folder)
+    return read_dictionary(spark, folder)
+
+
+@query("SELECT kind, count(*) AS n FROM qa_v3 WHERE kind IN ('no_tool', 'clarify', 'multi', 'error', 'single') AND (kind NOT IN ('single', 'error') OR prop IN ("
+       + ", ".join(S.lit(x) for x in C.ALL_PROPERTIES) + ")) GROUP BY kind")
+def load_trace_table(spark, d):
+    """JSON-lines rows loaded as a trainer's table; the counts by kind, for kinds whose traces have as many messages as they should."""
+    rows, folder = read(spark, d, "qa_v3").where(F.col("kind").isin("no_tool", "clarify", "multi", "error", "single")), scratch(spark)
+    rows = rows.where(~F.col("kind").isin("single", "error") | F.col("prop").isin(*C.ALL_PROPERTIES))
+    write_rows(rows.withColumn("pairs", F.transform("pairs", lambda p: F.array(p["smiles"], p["prop"]))).withColumn("split", F.lit("train")), folder)
+    table, counts = evaluate.load_traces(spark, f"{folder}/split=train", read(spark, d, "name_dict"))
+    n = F.size("messages")
+    kind = F.when(n == 3, "asked").when(n == 5, "one call").otherwise("more calls")
+    sizes = table.groupBy(kind.alias("size")).agg(F.count(F.lit(1)).alias("m"))
+    expected = counts.groupBy(F.when(F.col("kind").isin("no_tool", "clarify"), "asked").when(F.col("kind") == "multi", "more calls").otherwise("one call").alias("size")).agg(F.sum("n").alias("m"))
+    right = expected.join(sizes, ["size", "m"], "left_semi")
+    return counts.join(right, F.col("size") == F.when(F.col("kind").isin("no_tool", "clarify"), "asked").when(F.col("kind") == "multi", "more calls").otherwise("one call")).select("kind", "n")
+
+
+@query(f"""WITH {_CHAIN} SELECT key, '{{"result": ' || CASE WHEN t = 0 THEN '0' ELSE '1' END || '}}' AS told, '{{"error": "unknown name"}}' AS found FROM mol""")
+def registered_tools(spark, d):
+    """The tools as SQL functions."""
+    evaluate.register_tools(spark, {"water": "O"})
+    mols = scripted.chain_molecules(read(spark, d, "part"))
+    return mols.selectExpr("key", f"{C.COMPUTE_TOOL}(smiles, 'hbd') as told", f"{C.NAME_TOOL}('no such name') as found")
+
+
+@query(f"SELECT pos, smiles FROM molecules ORDER BY {S.draw(SEED, chr(39) + 'shuffle' + chr(39), 'pos')}, pos LIMIT 100")
+def shuffled_head(spark, d):
+    """The first hundred molecules of a seeded shuffle."""
+    return R.shuffled(read(spark, d, "molecules").select("pos", "smiles"), SEED, "pos").limit(100)
+
+
+@query("SELECT row_id, question FROM (SELECT DISTINCT row_id, question FROM qa_v3) ORDER BY row_id LIMIT 50")
+def head_rows(spark, d):
+    return A.head(read(spark, d, "qa_v3").select("row_id", "question").distinct(), "row_id", 50)
+
+
+# --- molecules in closed form ----------------------------------------------------------------------------------------------
+
+_LOGP = "round(CASE t WHEN 0 THEN n * 0.1441 + (2 * n + 2) * 0.123 WHEN 1 THEN (n - 1) * 0.1441 - 0.2035 - 0.2893 - 0.2677 + (2 * n + 1) * 0.123 ELSE (n - 1) * 0.1441 - 0.2035 - 1.019 + 2 * 0.2142 + (2 * n + 1) * 0.123 END, 4)::DOUBLE"
+
+
+@query(f"""WITH {_CHAIN} SELECT smiles, {_LOGP} AS logp, CASE t WHEN 0 THEN 0.0 WHEN 1 THEN 20.23 ELSE 26.02 END::DOUBLE AS tpsa, CASE t WHEN 0 THEN 0 ELSE 1 END AS hba,
+ true AS lipinski, true AS veber, 0 AS num_stereocenters, '' AS scaffold FROM (SELECT DISTINCT smiles, n, t FROM mol)""")
+def chain_molecule_features(spark, d):
+    rows = with_features(scripted.chain_molecules(read(spark, d, "part")).select("smiles").distinct())
+    return rows.select("smiles", *[F.col(f"features.{k}").alias(k) for k in ("logp", "tpsa", "hba", "lipinski", "veber", "num_stereocenters", "scaffold")])
+
+
+_LONG = "SELECT p_partkey AS key, repeat('C', (1 + p_partkey % 40)::INT) AS smiles, 1 + p_partkey % 40 AS n FROM part"
+
+
+@query(f"SELECT key, smiles FROM ({_LONG}) WHERE n BETWEEN 3 AND 60 AND n * 12.011 + (2 * n + 2) * 1.008 BETWEEN 150 AND 500 AND n * 0.1441 + (2 * n + 2) * 0.123 <= 5")
+def drug_like_chains(spark, d):
+    smiles = F.repeat(F.lit("C"), (F.col("p_partkey") % 40 + 1).cast("int"))
+    rows = with_features(read(spark, d, "part").select(F.col("p_partkey").alias("key"), smiles.alias("smiles")))
+    return rows.where(M.accepted(drug_like=True)).select("key", "smiles")
+
+
+@query("""SELECT 'C' || repeat('C', (p_size % 7)::INT) || 'O' AS canonical, min(p_partkey) AS key FROM part GROUP BY p_size % 7""")
+def canonical_dedupe_chains(spark, d):
+    """Alcohols written from either end or from the middle; one row a molecule, the first."""
+    k, way = (F.col("p_size") % 7).cast("int"), F.col("p_partkey") % 3
+    body = F.repeat(F.lit("C"), k)
+    smiles = F.when(way == 0, F.concat(F.lit("C"), body, F.lit("O"))).when(way == 1, F.concat(F.lit("OC"), body)).otherwise(F.concat(F.lit("C(O)"), body))
+    rows = with_features(read(spark, d, "part").select(F.col("p_partkey").alias("key"), smiles.alias("smiles")))
+    return M.first_wins(rows.select(F.col("features.canonical").alias("canonical"), "key"), "canonical", "key")
+
+
+@query("""SELECT p_partkey AS key, p_partkey % 4 IN (0, 3) AS same, 0 AS centres FROM part""")
+def double_bond_forms(spark, d):
+    """Pairs of spellings of 1-fluoro-alkenes: the same form twice, or both forms."""
+    tail = F.repeat(F.lit("C"), (F.col("p_size") % 6 + 1).cast("int"))
+    a = F.concat(F.lit("F/C=C/"), tail)
+    b = F.element_at(F.array(
+        F.concat(F.lit("F\\C=C\\"), tail), F.concat(F.lit("F/C=C\\"), tail), F.concat(F.lit("FC=C"), tail), F.concat(F.lit("C(\\F)=C/"), tail)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = scripted.labelled_all(
+        read(spark, d, "part").select(F.col("p_partkey").alias("key"), a.alias("a"), b.alias("b"), F.lit("canonical").alias("p"), F.lit("num_stereocenters").alias("q")),
+        ("a", "p", "ca"), ("b", "p", "cb"), ("a", "q", "n"),
+    )
+    return rows.select("key", (F.col("ca") == F.col("cb")).alias("same"), F.col("n").cast("int").alias("centres"))
+
+
+_RINGS = "WITH r AS (SELECT p_partkey AS pos, 3 + p_partkey % 6 AS n, 'C1' || repeat('C', (1 + p_partkey % 6)::INT) || 'C1' AS g FROM part), "
+
+
+@query(_RINGS + _SPLIT_TEXT.format(h=S.draw(SEED, "'group'", "g"), rows="r") + " SELECT pos, g AS scaffold, split FROM r JOIN named USING (g)")
+def scaffold_split_rings(spark, d):
+    """Rings with side chains, split by their scaffold, the bare ring."""
+    ring = F.concat(F.lit("C1"), F.repeat(F.lit("C"), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit("C1"))
+    smiles = F.concat(ring, F.repeat(F.lit("C"), (F.col("p_size") % 5).cast("int")))
+    rows = with_features(read(spark, d, "part").select(F.col("p_partkey").alias("pos"), smiles.alias("smiles")))
+    return M.group_split(rows.select("pos", F.col("features.scaffold").alias("scaffold")), "scaffold", SEED)
+
+
 # --- parsing ------------------------------------------------------------------------------------------------------------
 
 
@@ -322,9 +454,7 @@ def first_wins_dedupe(spark, d):
     return M.first_wins(rows, "spelling", "raw_id", 1000)
 
 
-_SPLIT = """sized AS (SELECT g, count(*) AS size, {h} AS k FROM {rows} GROUP BY g),
- placed AS (SELECT g, coalesce(sum(size) OVER (ORDER BY k, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM sized),
- named AS (SELECT g, CASE WHEN before < 0.8::DOUBLE * total THEN 'train' WHEN before < (0.8::DOUBLE + 0.1::DOUBLE) * total THEN 'val' ELSE 'test' END AS split FROM placed)"""
+_SPLIT = _SPLIT_TEXT
 _DOC_SPLIT = "WITH docs AS (SELECT doc_id, coalesce(source, '') AS g FROM documents), " + _SPLIT.format(h=S.draw(SEED, "'group'", "g"), rows="docs")
 
 

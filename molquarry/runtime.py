@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -78,6 +79,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share, for files that are written and read again."""
+    cut(spark.range(0))  # sets the checkpoint folder where it is not set yet
+    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
 def python_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInPandas`` on workers that know this package."""
     ship(df.sparkSession)

@@ -210,3 +210,52 @@ def test_build_is_sound(spark, small):
     build.assert_sound(mols, rows, dictionary)
     assert mols.count() > 20 and rows.where("kind = 'single'").count() == 14 * mols.count()
     assert build.rows_v1(mols).where("prop <> 'validity'").count() == 8 * mols.count()
+
+
+def test_whole_evaluation_of_gold_transcripts_of_all_kinds(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "single", "q", "CCO", "mw", None, None, None, None), (2, "multi", "q", None, None, [("CCO", "hbd"), ("CCN", "mw"), ("C", "mw")], None, None, None),
+            (3, "chain", "q", None, "mw", None, "Aceton ", None, None), (4, "chain", "q", None, "mw", None, "nobody", None, None), (5, "error", "q", "CC(", "mw", None, None, None, None),
+            (6, "no_tool", "q", None, None, None, None, "4", None), (7, "clarify", "q", None, None, None, None, None, "Which molecule?"), (8, "single", "q", "CC(", "mw", None, None, None, None),
+            (9, "single", "q", "OC/C=C/C", "canonical", None, None, None, None), (10, "multi", "q", None, None, [], None, None, None),
+        ],
+        "episode int, kind string, question string, smiles string, prop string, pairs array<struct<smiles:string,prop:string>>, name string, answer string, clarify_text string",
+    )
+    names = spark.createDataFrame([("aceton", "CC(C)=O")], "name string, smiles string")
+    turns = evaluate.gold_turns(rows, names)
+    said = {}
+    for r in turns.orderBy("episode", "turn").collect():
+        said.setdefault(r["episode"], []).append(r["text"])
+    # The loop: a scripted model that says the gold turns reads and ends them as they were written.
+    for i, script in said.items():
+        left = iter(script)
+        assert evaluate.converse([], lambda _: next(left), lambda n: None) == script, i
+    assert len(said[2]) == 4 and [evaluate.Toolbox(str).read(t)[1]["smiles"] for t in said[2][:3]] == ["CCO", "CCN", "C"]
+    got = {r["episode"]: (r["correct"], r["tool_valid"]) for r in evaluate.evaluate(rows, turns, names).collect()}
+    good = (True, True)
+    assert {i: got[i] for i in (1, 2, 3, 5, 6, 7, 9)} == dict.fromkeys((1, 2, 3, 5, 6, 7, 9), good)
+    assert not got[4][0] and not got[8][0]
+
+
+def test_tools_answer_and_raise():
+    box = evaluate.Toolbox({"aceton": "CC(C)=O"}.get)
+    assert box.run(C.COMPUTE_TOOL, {"smiles": "CCO", "property": "hbd"}) == '{"result": 1}'
+    assert box.run(C.COMPUTE_TOOL, {"smiles": "CC(", "property": "mw"}) == '{"error": "invalid molecule"}'
+    assert box.run(C.NAME_TOOL, {"name": "aceton"}) == '{"result": "CC(C)=O"}' and box.run(C.NAME_TOOL, {"name": "x"}) == '{"error": "unknown name"}'
+    with pytest.raises(ValueError, match="unknown property"):
+        box.run(C.COMPUTE_TOOL, {"smiles": "CCO", "property": "MW"})
+    with pytest.raises(ValueError, match="unknown tool"):
+        box.run("other", {})
+    assert [t["function"]["name"] for t in evaluate.tool_schemas(2)] == [C.COMPUTE_TOOL] and len(evaluate.tool_schemas()) == 2
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from molquarry.runtime import cut
+
+    conf = SimpleNamespace(get=lambda k: None)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="yarn")))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut(df)
