@@ -2,7 +2,9 @@
 
 The targets of a plan form a table of kind by prop (one row or column where
 only the other is named).  Fractional quotas are share x sample rows, raised to
-``min_rows`` and lowered to what there is; they are made whole by a maximum
+``min_rows`` and lowered to what there is; if that is less than the sample rows,
+the others grow in proportion, and if minima make it more, so is the sample.
+They are made whole by a maximum
 flow that keeps every cell and every row and column sum between the floor and
 the ceiling of its fractional value, and the total at its nearest whole number.
 
@@ -130,38 +132,31 @@ def controlled_rounding(cells: dict[tuple, float]) -> dict[tuple, int]:
 
 def quotas(targets: list[dict], sample_rows: int) -> None:
     """Set ``needed``, ``quota`` and ``unmet`` of a plan's targets, each with ``kind, prop, share, min_rows, available``."""
-    cells: dict[tuple, float] = defaultdict(float)
-    least_of, have, needs = defaultdict(int), {}, defaultdict(int)
+    goals: dict[tuple, float] = defaultdict(float)
+    have = {}
     for t in targets:
         share, least = t["share"] or 0.0, t["min_rows"] or 0
         t["needed"] = max(least, math.floor(share * sample_rows + 0.5))
         t["cell"] = (t["kind"] or "", t["prop"] or "")
-        cells[t["cell"]] += share * sample_rows
-        least_of[t["cell"]] += least
-        needs[t["cell"]] = max(needs[t["cell"]], t["needed"])
+        t["goal"] = max(float(least), share * sample_rows)
+        goals[t["cell"]] += t["goal"]
         have[t["cell"]] = t["available"]
-    # Categories that cannot reach what they need are taken whole.  Minima and what there is bound the others; what that
-    # adds or takes away is spread over the free cells in proportion.
-    fixed = {c: float(have[c]) for c in cells if have[c] < needs[c]}
-    while True:
-        free = {c: v for c, v in cells.items() if c not in fixed}
-        rest = max(0.0, sum(cells.values()) - sum(fixed.values()))
-        weight = sum(free.values())
-        scaled = {c: v * rest / weight if weight else 0.0 for c, v in free.items()}
-        out = {c: float(min(have[c], least_of[c])) for c, v in scaled.items() if v < least_of[c]}
-        out = out or {c: float(have[c]) for c, v in scaled.items() if v > have[c]}
-        if not out:
+    # Minima come on top of the other categories' shares; what a category lacks is spread over those that have more.
+    cells = {c: min(v, float(have[c])) for c, v in goals.items()}
+    while (short := sample_rows - sum(cells.values())) > 1e-9:
+        free = {c: v for c, v in cells.items() if 0 < v < have[c]}
+        if not free:
             break
-        fixed |= out
-    whole = controlled_rounding(fixed | scaled) if cells else {}
+        grow = 1 + short / sum(free.values())
+        cells |= {c: min(v * grow, float(have[c])) for c, v in free.items()}
+    whole = controlled_rounding(cells) if cells else {}
     for c, total in whole.items():
         total = min(total, have[c])
         own = [t for t in targets if t["cell"] == c]
         # Targets of one category share what it gives, each as much as it asks for, the first ones the odd records.
-        asks = sum((t["share"] or 0.0) * sample_rows + (t["min_rows"] or 0) for t in own)
+        asks = sum(t["goal"] for t in own)
         for i, t in enumerate(own):
-            ask = (t["share"] or 0.0) * sample_rows + (t["min_rows"] or 0)
-            t["quota"] = -int(-total * ask // asks) if asks and i < len(own) - 1 else total - sum(x["quota"] for x in own[:i])
+            t["quota"] = math.ceil(total * t["goal"] / asks) if asks and i < len(own) - 1 else total - sum(x["quota"] for x in own[:i])
             t["quota"] = min(t["quota"], total - sum(x["quota"] for x in own[:i]))
             t["unmet"] = total == have[c] and total < t["needed"]
 
